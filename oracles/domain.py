@@ -39,6 +39,11 @@ def even(x: str, digits: int) -> str:
     return f"(round_even(CAST(({x}) AS DOUBLE) * {p}, 0) / {p})" if digits else f"round_even(CAST(({x}) AS DOUBLE), 0)"
 
 
+def price3(x: str) -> str:
+    """Display rounding of mean prices, border just below the half."""
+    return f"(floor(({x}) * 1000e0 + 0.500001e0) / 1000e0)"
+
+
 def up(x: str) -> str:
     """Half-up to BIGINT for non-negative values."""
     return f"CAST(floor(CAST(({x}) AS DOUBLE) + 0.5e0) AS BIGINT)"

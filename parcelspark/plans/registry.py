@@ -26,6 +26,15 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: round_even(n, digits) for n in names})
 
 
+def priced(df: DataFrame, *names: str) -> DataFrame:
+    """Mean prices at three digits for display.
+
+    Averages of few sales end exactly on a half; the rounding border is set just
+    below it, so that summation order cannot decide the last digit.
+    """
+    return df.withColumns({n: F.floor(F.col(n) * 1000.0 + F.lit(0.500001)) / F.lit(1000.0) for n in names})
+
+
 # Views, listings, records
 
 
@@ -134,13 +143,13 @@ def j3_p7_road_impact(t: StandIn) -> DataFrame:
 @query
 def w9_uplift_samples(t: StandIn) -> DataFrame:
     s = impact.uplift_samples(t.projects, t.project_stages, t.land_transactions)
-    return rounded(s, 3, "distance_m", "base").withColumn("uplift_pct", round_even("uplift_pct", 6)).drop("project_type")
+    return priced(rounded(s, 3, "distance_m"), "base").withColumn("uplift_pct", round_even("uplift_pct", 6)).drop("project_type")
 
 
 @query
 def g12_region_median_price(t: StandIn) -> DataFrame:
-    priced = halo.unit_prices(t.land_transactions)
-    return rounded(grouped_median(priced, ["region_code"], "unit_price", "median_price"), 3, "median_price")
+    sales = halo.unit_prices(t.land_transactions)
+    return priced(grouped_median(sales, ["region_code"], "unit_price", "median_price"), "median_price")
 
 
 @query
@@ -263,7 +272,7 @@ def l7_top_factors(t: StandIn) -> DataFrame:
 
 @query
 def g7_band_prices(t: StandIn) -> DataFrame:
-    return rounded(halo.band_prices(t.stores, t.land_transactions), 3, "pre_avg", "post_avg")
+    return priced(halo.band_prices(t.stores, t.land_transactions), "pre_avg", "post_avg")
 
 
 @query
@@ -273,7 +282,7 @@ def g8_baseline_change(t: StandIn) -> DataFrame:
 
 @query
 def m15_store_halo(t: StandIn) -> DataFrame:
-    return rounded(halo.store_halo(t.stores, t.land_transactions), 3, "pre_avg", "post_avg")
+    return priced(halo.store_halo(t.stores, t.land_transactions), "pre_avg", "post_avg")
 
 
 @query
