@@ -35,12 +35,21 @@ def salted_join(
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
-def top_rows(df: DataFrame, groups: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
+def top_rows(
+    df: DataFrame, groups: list[str], order: list[Column], k: int, rank: str = "rank", spread_by: list[str] | None = None
+) -> DataFrame:
     """First ``k`` rows per group with their rank.
 
     A row_number filter is planned with a per-task limit ahead of the shuffle,
-    so at most ``k`` rows per group and task reach the final sort.
+    so at most ``k`` rows per group and task reach the final sort. The planner
+    does this for k up to 1000; for more, name ``spread_by`` columns and the
+    group is first cut down in 64 hashed parts.
     """
+    if spread_by and k > 1000:
+        part = Window.partitionBy(*groups, "_part").orderBy(*order)
+        df = (
+            df.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.lit(64)))
+            .withColumn("_pre", F.row_number().over(part)).filter(F.col("_pre") <= k).drop("_part", "_pre"))
     window = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 

@@ -10,7 +10,8 @@ from parcelspark.functions.geo import haversine_km
 from parcelspark.functions.numbers import change, round_even
 from parcelspark.operators import timeseries as ts
 from parcelspark.operators.skew import grouped_median, top_rows
-from parcelspark.plans import features, halo, impact, roads, views
+from parcelspark.operators.nearest import topk_cosine
+from parcelspark.plans import features, forecast, halo, impact, rationale, roads, similar, siting, views
 from parcelspark.sources.standin import AS_OF, StandIn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,3 +366,185 @@ def g6_sales_growth(t: StandIn) -> DataFrame:
 def q4_p6_feature_table(t: StandIn) -> DataFrame:
     f = features.extract_features(_entities(t), t, AS_OF, region_match="prefix")
     return rounded(f, 3, "distance_to_nearest_road_m")
+
+
+# Similar regions and stores
+
+
+def _region_features(t: StandIn, scale: str | None = None) -> DataFrame:
+    return similar.region_features(
+        t.admin_areas, t.population_stats, t.road_segments, t.traffic_volumes, t.road_expansion_stages, AS_OF, scale)
+
+
+@query
+def g3_j13_g11_region_features(t: StandIn) -> DataFrame:
+    return rounded(_region_features(t), 6, *similar.REGION_WEIGHTS)
+
+
+@query
+def l6_region_peers(t: StandIn) -> DataFrame:
+    return similar.region_peers(t.admin_areas)
+
+
+@query
+def l5_q7_similar_regions(t: StandIn) -> DataFrame:
+    return rounded(similar.similar_regions(_region_features(t)), 6, *similar.REGION_WEIGHTS)
+
+
+@query
+def l5_similar_regions_zscore(t: StandIn) -> DataFrame:
+    hits = similar.similar_regions(_region_features(t, "zscore"))
+    return hits.select("code", "peer_code", "score", "rank")
+
+
+@query
+def l4_embedding_neighbours(t: StandIn) -> DataFrame:
+    vectors = t.embeddings.select("vec_id", "embedding")
+    return topk_cosine(
+        vectors, vectors.withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id", "embedding", 5, exclude_self=True)
+
+
+def _store_features(t: StandIn) -> DataFrame:
+    return features.extract_features(features.store_entities(t.stores, AS_OF), t, AS_OF, region_match="prefix")
+
+
+@query
+def p4_q8_similar_stores(t: StandIn) -> DataFrame:
+    return similar.similar_stores(_store_features(t), t.stores)
+
+
+# Forecast
+
+
+@query
+def m10_forecast(t: StandIn) -> DataFrame:
+    f = forecast.forecast(t.official_land_prices, t.buildings)
+    return rounded(f, 6, "slope", "annual_growth", "boosted_annual")
+
+
+@query
+def m10_m11_forecast_with_catalysts(t: StandIn) -> DataFrame:
+    parcels = features.parcel_entities(t.buildings, AS_OF)
+    signals = features.catalysts(
+        parcels, t.population_stats, t.road_segments, t.road_expansion_stages, t.projects, t.project_stages,
+        t.land_transactions, "prefix")
+    per_parcel = parcels.join(signals, ["region_code", "snapshot_date"]).select("pnu", *features.CATALYSTS)
+    f = forecast.forecast(t.official_land_prices, None, per_parcel)
+    return rounded(f, 6, "slope", "annual_growth", "boosted_annual", "catalyst_score")
+
+
+@query
+def m12_backtest_errors(t: StandIn) -> DataFrame:
+    return rounded(forecast.backtest_errors(t.official_land_prices), 6, "actual", "ape")
+
+
+@query
+def m12_g14_backtest_summary(t: StandIn) -> DataFrame:
+    return forecast.backtest_summary(forecast.backtest_errors(t.official_land_prices))
+
+
+@query
+def m12_g14_backtest_summary_leaky(t: StandIn) -> DataFrame:
+    return forecast.backtest_summary(forecast.backtest_errors(t.official_land_prices, leaky=True))
+
+
+@query
+def r3_forecast_bands(t: StandIn) -> DataFrame:
+    return rounded(forecast.forecast_bands(forecast.forecast(t.official_land_prices)), 6, "upper", "lower")
+
+
+# Siting
+
+
+@query
+def p3_l2_candidates(t: StandIn) -> DataFrame:
+    return siting.largest_candidates(siting.candidate_parcels(t.buildings)).select(
+        "region_code", "pnu", "parcel_area_m2", "use_type", "area_rank")
+
+
+@query
+def m9_u1_training_samples(t: StandIn) -> DataFrame:
+    """Positives and sampled negatives of both targets with their labels."""
+    out = []
+    for target in ("DT", "DI"):
+        positives = siting.positive_stores(t.stores, target)
+        negatives = siting.negative_parcels(t.buildings, positives)
+        out += [positives.select(F.lit(target).alias("target"), "pnu", "region_code", F.lit(1).alias("label")),
+                negatives.select(F.lit(target).alias("target"), "pnu", "region_code", F.lit(0).alias("label"))]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query
+def j15_negatives_away_from_stores(t: StandIn) -> DataFrame:
+    positives = siting.positive_stores(t.stores, "DT")
+    return siting.negative_parcels(t.buildings, positives, min_distance_m=200.0).select("pnu", "region_code", "draw")
+
+
+@query
+def m7_p9_q5_untrained_suitability(t: StandIn) -> DataFrame:
+    rows = features.parcel_entities(t.buildings, AS_OF).select("entity_id", "pnu", "region_code")
+    return siting.land_suitability(rows, t.official_land_prices, None, "DT")
+
+
+def _parcel_features(t: StandIn) -> DataFrame:
+    return features.extract_features(_entities(t), t, AS_OF, region_match="prefix")
+
+
+@query
+def m13_l8_rationales(t: StandIn) -> DataFrame:
+    return rounded(rationale.rationale_rows(rationale.with_rationales(_parcel_features(t)), "entity_id"), 4, "value")
+
+
+@query
+def r4_rationale_groups(t: StandIn) -> DataFrame:
+    rows = rationale.rationale_rows(rationale.with_rationales(_parcel_features(t)), "entity_id")
+    grouped = views.rationales_by_category(rows, "entity_id")
+    return grouped.select(
+        "entity_id", "category", F.size("items").alias("n_items"),
+        F.concat_ws("|", F.transform("items", lambda i: F.concat_ws(":", i["impact"], i["feature"]))).alias("items"))
+
+
+@query
+def r5_factor_chart(t: StandIn) -> DataFrame:
+    factors = roads.top_factors(roads.road_report(_aligned(t)), 4).select(
+        "road_id", F.col("factor_rank").alias("position"), "factor", "value", F.lit(None).cast("double").alias("contribution"))
+    return views.factor_chart(factors, "road_id", 3).select("road_id", "factor", "bar", "bar_no")
+
+
+@query
+def m6_g17_cross_validation(t: StandIn) -> DataFrame:
+    """Held-out AUC per fold and the release verdict, for drive-thru stores."""
+    rows = siting.training_set(t, "DT", AS_OF, region_match="prefix")
+    folds = siting.cross_validate(rows)
+    gate = siting.training_gate(siting.positive_stores(t.stores, "DT"), folds)
+    verdict = gate.select(F.lit(-1).alias("fold"), F.col("auc_mean").alias("auc"), "passed")
+    return folds.withColumn("passed", F.lit(None).cast("boolean")).unionByName(verdict)
+
+
+@query
+def m8_q5_trained_suitability(t: StandIn) -> DataFrame:
+    rows = siting.training_set(t, "DT", AS_OF, region_match="prefix")
+    model = siting.fit_model(rows)
+    parcels = features.extract_features(features.parcel_entities(t.buildings, AS_OF), t, AS_OF, region_match="prefix")
+    out = siting.land_suitability(parcels, t.official_land_prices, model, "DT", siting.reference_point(rows))
+    return out.select(
+        "entity_id", "pnu", "score_raw", "score_100", "label_text", "explanation_confidence", "growth_1y", "growth_3y",
+        "growth_5y", F.to_json("factors").alias("factors"), F.size("rationales").alias("n_rationales"))
+
+
+@query
+def l3_q6_candidate_ranking(t: StandIn) -> DataFrame:
+    rows = siting.training_set(t, "DT", AS_OF, region_match="prefix")
+    model = siting.fit_model(rows)
+    ranking = siting.candidate_ranking(
+        t, model, siting.reference_point(rows), "DT", AS_OF, store_rows=_store_features(t), region_match="prefix")
+    return ranking.select(
+        "region_code", "rank", "pnu", "score_raw", "label_text", "growth_1y", "growth_3y", "growth_5y", "region_confidence",
+        F.to_json("factors").alias("factors"), F.to_json("rationales").alias("rationales"),
+        F.to_json("similar_stores").alias("similar_stores"))
+
+
+@query
+def q9_feature_importances(t: StandIn) -> DataFrame:
+    rows = siting.training_set(t, "DI", AS_OF, region_match="prefix")
+    return siting.importances(siting.fit_model(rows), t.spark)

@@ -166,5 +166,5 @@ def factor_chart(factors: DataFrame, key: str, limit: int = 10) -> DataFrame:
 
     size = F.coalesce("contribution", "value", F.lit(0.0))
     first = factors.filter(F.col("position") <= limit).withColumn("bar", size)
-    order = Window.partitionBy(key).orderBy(F.abs("bar").desc(), "factor")
+    order = Window.partitionBy(key).orderBy(F.abs("bar").desc(), "position")
     return first.withColumn("bar_no", F.row_number().over(order))
