@@ -104,7 +104,7 @@ def topk_cosine(
     def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Groups a query must visit, given the k-th score in one block."""
         if not len(left):
-            return pd.DataFrame({"qrep": left.get("qrep", []), "u": [], "targets": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("qrep", "u", "targets")})
         least = np.full(len(left), -1.0)
         if len(right) >= wanted:
             for i, _, scores in best(left, right):
@@ -141,7 +141,7 @@ def topk_cosine(
                 out["qrep"].extend([keys[i]] * len(at))
                 out["rep"].extend(ids[at])
                 out["score"].extend(scores)
-        return pd.DataFrame(out)
+        return pd.DataFrame({c: pd.Series(v, dtype=None if v else object) for c, v in out.items()})
 
     hits = _meet(
         aimed.withColumn("block", F.explode(F.sequence(F.lit(0), _lookup(blocks, "cluster") - 1)))
