@@ -165,3 +165,10 @@ def price_change(prices: DataFrame, key: str = "pnu") -> DataFrame:
         key, F.col("latest").cast("double").alias("land_price_per_m2"),
         F.coalesce(round_even(change("latest", "before"), 4), F.lit(0.0)).alias("land_price_yoy"),
         F.coalesce(round_even(change("latest", "earliest"), 4), F.lit(0.0)).alias("land_price_5y_growth"), "n_years")
+
+
+def change_from_stored(new: DataFrame, stored: DataFrame, key: str = "pnu") -> DataFrame:
+    """Change in percent of incoming prices against the stored previous year."""
+    before = stored.select(key, (F.col("year") + 1).alias("year"), F.col("price_per_m2").alias("_before"))
+    rate = round_even((F.col("price_per_m2") - F.col("_before")) / F.nullif(F.col("_before"), F.lit(0)).cast("double") * 100, 4)
+    return new.join(before, [key, "year"], "left").withColumn("change_rate", rate).drop("_before")

@@ -12,6 +12,8 @@ from parcelspark.operators import timeseries as ts
 from parcelspark.operators.skew import grouped_median, top_rows
 from parcelspark.operators.nearest import topk_cosine
 from parcelspark.plans import features, forecast, halo, impact, rationale, roads, similar, siting, views
+from parcelspark.operators import sinks
+from parcelspark.sources import feeds
 from parcelspark.sources.standin import AS_OF, StandIn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -548,3 +550,227 @@ def l3_q6_candidate_ranking(t: StandIn) -> DataFrame:
 def q9_feature_importances(t: StandIn) -> DataFrame:
     rows = siting.training_set(t, "DI", AS_OF, region_match="prefix")
     return siting.importances(siting.fit_model(rows), t.spark)
+
+
+# Ingest: feed texts are derived from the tables, then parsed back
+
+
+def _json(**fields) -> F.Column:
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def _page(item: F.Column, single: F.Column) -> F.Column:
+    """Response text holding one object or a one-element list."""
+    body = F.when(single, item).otherwise(F.concat(F.lit("["), item, F.lit("]")))
+    return F.concat(F.lit('{"response":{"body":{"items":{"item":'), body, F.lit('},"totalCount":1}}}'))
+
+
+def _sales_pages(t: StandIn) -> DataFrame:
+    """Sale records of both key generations, every eleventh with a broken date."""
+    li = t.fact("lineitem", "l_orderkey").withColumn("d", F.col("l_shipdate").cast("date"))
+    k = F.col("l_orderkey")
+    amount = F.format_number(F.floor(F.col("l_extendedprice")).cast("bigint"), 0)
+    day = F.when(k % 11 == 0, F.lit("32")).otherwise(F.dayofmonth("d").cast("string"))
+    legacy = _json(**{
+        "일련번호": F.concat_ws("-", k, "l_linenumber", "l_partkey"), "년": F.year("d").cast("string"), "월": F.month("d").cast("string"),
+        "일": day, "법정동": F.concat(F.lit("동"), F.col("l_suppkey").cast("string")), "거래금액": amount,
+        "거래면적": F.col("l_quantity").cast("string"), "용도지역": F.col("l_returnflag")})
+    current = _json(
+        dealYear=F.year("d").cast("string"), dealMonth=F.month("d").cast("string"), dealDay=day,
+        umdNm=F.concat(F.lit("동"), F.col("l_suppkey").cast("string")), jibun=F.col("l_linenumber").cast("string"),
+        dealAmount=amount, dealArea=F.col("l_quantity") * 10, landUse=F.col("l_linestatus"), sggCd=F.lit(41220) + F.col("l_suppkey") % 7)
+    return li.select(
+        F.lit("41280").alias("sigungu"), F.date_format("d", "yyyy-MM").alias("year_month"),
+        _page(F.when(k % 2 == 0, legacy).otherwise(current), k % 3 == 0).alias("payload"))
+
+
+@query
+def s1_s2_s3_sales_feed(t: StandIn) -> DataFrame:
+    return feeds.normalise_sales(feeds.unwrap(_sales_pages(t))).drop("raw_data", "_item")
+
+
+@query
+def k4_g16_k6_ingest_counts(t: StandIn) -> DataFrame:
+    typed = feeds.normalise_sales(feeds.unwrap(_sales_pages(t)))
+    good, bad = feeds.split_rejects(typed, "molit_real_estate")
+    return sinks.ingest_counts({"molit_real_estate": (good, bad)})
+
+
+def _population_pages(t: StandIn) -> DataFrame:
+    """Population records: current keys with a code, or names only."""
+    p = t.population_stats.join(
+        t.admin_areas.select(F.col("code").alias("region_code"), F.col("name").alias("dong"), F.col("parent_code").alias("sg")), "region_code").join(
+        t.admin_areas.select(F.col("code").alias("sg"), F.col("name").alias("sgg"), F.col("parent_code").alias("sd")), "sg").join(
+        t.admin_areas.select(F.col("code").alias("sd"), F.col("name").alias("sido")), "sd")
+    coded = _json(
+        admmCd=F.col("region_code"), ctpvNm=F.col("sido"), sggNm=F.col("sgg"), dongNm=F.col("dong"), tong=F.lit(""),
+        totNmprCnt=F.col("total_population").cast("string"), maleNmprCnt=F.col("male_population").cast("string"),
+        femlNmprCnt=F.col("female_population").cast("string"), hhCnt=F.col("household_count").cast("string"), hhNmpr=F.lit("2.50"))
+    named = _json(
+        sidoNm=F.col("sido"), sigungu_nm=F.col("sgg"), emdNm=F.col("dong"), total=F.format_number("total_population", 0),
+        male=F.format_number("male_population", 0), female=F.format_number("female_population", 0),
+        households=F.format_number("household_count", 0))
+    item = F.when(F.month("observed_at") % 2 == 0, coded).otherwise(named)
+    return p.select(
+        F.date_format("observed_at", "yyyy-MM").alias("year_month"),
+        F.concat(F.lit('{"Response":{"head":{"totalCount":"1"},"items":{"item":['), item, F.lit("]}}}")).alias("payload"))
+
+
+@query
+def s4_j10_q10_population_feed(t: StandIn) -> DataFrame:
+    typed = feeds.normalise_population(feeds.unwrap(_population_pages(t)))
+    return feeds.resolve_region_codes(typed, t.admin_areas).drop("raw_data", "_item", "tong", "ban")
+
+
+@query
+def k2_missing_admin_areas(t: StandIn) -> DataFrame:
+    """Admin rows the population feed would add to the provinces and districts."""
+    typed = feeds.normalise_population(feeds.unwrap(_population_pages(t)))
+    known = t.admin_areas.filter(F.col("level") != "eupmyeondong")
+    return sinks.absent_rows(known, feeds.missing_admin_areas(typed), ["code"])
+
+
+@query
+def s5_price_feed(t: StandIn) -> DataFrame:
+    p = t.official_land_prices
+    key = F.when(F.col("year") % 2 == 0, _json(pnu=F.col("pnu"), indvdLandPrice=F.format_number("price_per_m2", 0))).otherwise(
+        _json(pnuCode=F.when(F.col("price_per_m2") % 13 == 0, F.substring("pnu", 1, 18)).otherwise(F.col("pnu")), pblntfPclnd=F.col("price_per_m2")))
+    pages = p.select("year", F.concat(F.lit('{"indvdLandPrices":['), key, F.lit("]}")).alias("payload"))
+    return feeds.normalise_prices(feeds.unwrap(pages)).drop("raw_data", "_item")
+
+
+@query
+def s6_building_feeds(t: StandIn) -> DataFrame:
+    b = t.buildings.withColumn("day", F.date_format("approval_date", "yyyyMMdd"))
+    registry = b.select("pnu", _json(
+        newPlatPlc=F.lit(""), address=F.col("region_code"), platArea=F.format_number("parcel_area_m2", 1),
+        building_area_m2=F.col("building_area_m2").cast("string"), grndFlrCnt=F.lit("12"), use_type=F.col("use_type"), useAprDay=F.col("day")).alias("raw"))
+    title = b.select("pnu", _json(
+        platPlc=F.col("region_code"), platArea=F.col("parcel_area_m2"), archArea=F.col("building_area_m2"),
+        totArea=F.lit("n/a"), grndFlrCnt=F.lit(3), mainPurpsCdNm=F.col("use_type"), bldNm=F.lit("Tower")).alias("raw"))
+    return feeds.normalise_buildings(feeds.with_fields(registry), feeds.with_fields(title)).drop("raw_data")
+
+
+@query
+def s7_parcel_characteristics(t: StandIn) -> DataFrame:
+    raw = t.buildings.select("pnu", _json(
+        stdrYear=F.lit("2001"), ldCpsgCode=F.col("region_code"), lndpclAr=F.format_number("parcel_area_m2", 2),
+        lndcgrCodeNm=F.lit("대"), prposArea1Nm=F.col("use_type"), prposArea2Nm=F.lit(""), roadSideCodeNm=F.lit("중로한면")).alias("raw"))
+    return feeds.normalise_characteristics(feeds.with_fields(raw)).drop("raw_data")
+
+
+@query
+def s8_store_feeds(t: StandIn) -> DataFrame:
+    c = t.stores.withColumn("zero", F.when(F.col("id") % 9 == 0, F.lit(0.0)))
+    at = lambda x: F.coalesce(F.col("zero"), F.col(x))
+    first = c.select(_page(_json(
+        s_code=F.col("id").cast("string"), s_name=F.concat("name", F.when(F.col("store_type") == "DT", " dt점").otherwise("")),
+        addr=F.col("address"), lat=at("lat").cast("string"), lot=at("lon").cast("string")), F.lit(False)).alias("payload"))
+    second = c.select(F.concat(F.lit('{"stores":['), _json(
+        id=F.col("id"), storeName=F.col("name"), address=F.col("address"), latitude=at("lat"), longitude=at("lon"),
+        is_dt=F.when(F.col("store_type") == "DT", F.lit(True))), F.lit("]}")).alias("payload"))
+    return feeds.normalise_stores(feeds.unwrap(first), "스타벅스").unionByName(
+        feeds.normalise_stores(feeds.unwrap(second), "맥도날드")).drop("raw_data", "_item")
+
+
+@query
+def s9_j19_geocode_match(t: StandIn) -> DataFrame:
+    """Two search hits per store, the second named with the type's suffix."""
+    hit = lambda r, extra: _json(
+        title=F.concat(F.lit("<b>"), F.col("brand"), F.lit("</b> "), extra), address=F.lit(""), roadAddress=F.lit("r"),
+        mapx=F.floor((F.col("lon") + 0.001 * r) * 1e7).cast("bigint").cast("string"),
+        mapy=F.floor((F.col("lat") + 0.001 * r) * 1e7).cast("bigint").cast("string"))
+    found = t.stores.filter(F.col("store_type") != "standard")
+    raw = found.select("id", F.posexplode(F.array(
+        hit(1, F.lit("본점")), hit(2, F.concat("store_type", F.lit("점"))))).alias("hit_rank", "raw"))
+    hits = feeds.normalise_geocodes(feeds.with_fields(raw))
+    return feeds.match_geocodes(t.stores, hits).select(
+        "id", "query", "status", "hit_name", round_even("verified_lon", 7).alias("verified_lon"),
+        round_even("verified_lat", 7).alias("verified_lat"), "drift_km")
+
+
+@query
+def s10_p5_parcel_list(t: StandIn) -> DataFrame:
+    p, n = F.col("pnu"), F.length("use_type")
+    dashed = F.concat_ws("-", F.substring(p, 1, 10), F.substring(p, 11, 1), F.substring(p, 12, 4), F.substring(p, 16, 4))
+    line = F.when(n % 3 == 0, F.concat(F.lit("  "), p)).when(n % 3 == 1, dashed).otherwise(F.concat(p, F.lit("x")))
+    listed, rejected = feeds.parcel_list(t.buildings.select(line.alias("value")))
+    good = listed.select("pnu", feeds.parcel_parts(F.col("pnu")).alias("p")).select("pnu", "p.*", F.lit(True).alias("accepted"))
+    return good.unionByName(
+        rejected.select(F.col("line").alias("pnu"), F.lit(False).alias("accepted")), allowMissingColumns=True)
+
+
+@query
+def p1_violations(t: StandIn) -> DataFrame:
+    shifted = t.stores.select(
+        "id", F.when(F.col("store_type") == "DI", F.substring("pnu", 1, 18)).otherwise(F.col("pnu")).alias("pnu"),
+        F.when(F.col("brand") == "BUILDING", F.col("lon")).otherwise(F.col("lat")).alias("lat"), "lon",
+        F.col("closed_at").alias("first_day"), F.col("opened_at").alias("last_day"), F.lower("store_type").alias("store_type"))
+    broken = feeds.violations("pnu", "lat", "lon", ("first_day", "last_day"), ["id"], {"store_type": "store_type"})
+    return shifted.select("id", F.concat_ws("|", broken).alias("violations"))
+
+
+# Sinks as pure table functions
+
+
+def _corrections(t: StandIn) -> DataFrame:
+    """Corrected prices for 1998 and later, and one new year for every parcel."""
+    p = t.official_land_prices
+    newer = p.filter(F.col("year") >= 1998).select("pnu", "year", (F.col("price_per_m2") + 7).alias("price_per_m2"))
+    fresh = p.groupBy("pnu").agg(F.max("price_per_m2").alias("price_per_m2")).select("pnu", F.lit(2002).alias("year"), "price_per_m2")
+    return newer.unionByName(fresh)
+
+
+@query
+def k1_merged_prices(t: StandIn) -> DataFrame:
+    old = t.official_land_prices.withColumn("note", F.lit("stored"))
+    new = _corrections(t).withColumn("note", F.lit("incoming"))
+    return sinks.merge_rows(old, new, ["pnu", "year"], ["price_per_m2"])
+
+
+@query
+def k1_w1_incoming_change_rate(t: StandIn) -> DataFrame:
+    return ts.change_from_stored(_corrections(t), t.official_land_prices)
+
+
+@query
+def k3_brand_ids(t: StandIn) -> DataFrame:
+    """Known brands keep their id; how many new names and whether ids are unique."""
+    known = t.store_brands.filter(F.length("name") > 8).select(F.length("name").cast("bigint").alias("id"), "name").dropDuplicates(["id"])
+    ids = sinks.surrogate_ids(known, t.store_brands)
+    kept = ids.join(known.select("name", F.col("id").alias("old")), "name", "left")
+    return kept.agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.countDistinct("name").alias("n_names"),
+        F.sum((F.col("id") == F.col("old")).cast("int")).alias("kept"))
+
+
+@query
+def k5_analysis_rows(t: StandIn) -> DataFrame:
+    grid = impact.uplift_grid(impact.default_surface(views.anchor_dates(t.projects, t.project_stages)))
+    keyed = grid.withColumn("radius_m", F.lit(5000)).withColumn("distance", F.col("distance_m").cast("int"))
+    return sinks.analysis_rows(
+        keyed, "a", "project", "project_id", ["radius_m", "distance", "months_after_anchor"], ["expected_uplift_pct"]).drop("result")
+
+
+@query
+def k7_feature_snapshots(t: StandIn) -> DataFrame:
+    """Latest unexpired snapshot of district prices, written for two dates."""
+    import datetime as dt
+
+    now = dt.datetime(2001, 6, 30, 12)
+    base = t.official_land_prices.select(
+        F.col("pnu").alias("entity_id"), F.make_date("year", F.lit(12), F.lit(31)).alias("snapshot_date"),
+        F.create_map(F.lit("price"), F.col("price_per_m2").cast("double")).alias("features"))
+    stored = sinks.feature_snapshots(base.filter(F.year("snapshot_date") < 2000), "parcel", "v1", now).unionByName(
+        sinks.feature_snapshots(base.filter(F.year("snapshot_date") >= 2000), "parcel", "v1", now, ttl_hours=-1))
+    wanted = t.buildings.select(F.lit("parcel").alias("entity_type"), F.col("pnu").alias("entity_id"))
+    return sinks.get_features(stored, wanted, now).select(
+        "entity_id", "snapshot_date", F.col("features")["price"].alias("price"))
+
+
+@query
+def u2_j16_region_labels(t: StandIn) -> DataFrame:
+    """Distinct region codes of stores, parcels and roads with their names."""
+    codes = t.stores.select("region_code").union(t.buildings.select("region_code")).union(
+        t.road_segments.select("region_code")).distinct()
+    return codes.join(t.admin_areas.select(F.col("code").alias("region_code"), "name"), "region_code", "left")
