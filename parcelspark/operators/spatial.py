@@ -63,15 +63,16 @@ def _cover(df: DataFrame, vertices: str, size: tuple[float, float]) -> DataFrame
 
 
 def area_point_pairs(
-    areas: DataFrame, points: DataFrame, radius_m: float, area_id: str, point_id: str,
+    areas: DataFrame, points: DataFrame, radius_m: float, point_id: str,
     polygon: str = "polygon", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(area, point) pairs within ``radius_m`` of the polygon; inside gives 0.
 
-    Returns all area and point columns plus ``distance_m``. A candidate pair is
-    opened into one row per polygon edge, which keeps the arithmetic in generated
-    code; the rows of a pair sit in one task and are folded there before the
-    shuffle of the closing aggregate.
+    Returns all area and point columns but the geometry, plus ``distance_m``. A
+    candidate pair is opened into one row per polygon edge, which keeps the
+    arithmetic in generated code; the rows of a pair sit in one task and are
+    folded there before the shuffle of the closing aggregate. Attributes ride
+    along as grouping columns, so that the aggregate stays a hash aggregate.
     """
     size = geo.cell_size(radius_m)
     lons, lats = F.col(polygon)["lon"], F.col(polygon)["lat"]
@@ -86,12 +87,11 @@ def area_point_pairs(
     met = salted_join(placed, covered, CELL, [point_id], hot_rows).filter(near)
     opened = geo.with_edge_distance(met.withColumn("edge", F.explode("edges")).drop("edges", "box"), "lon", "lat", "edge", "d")
     lon, lat, edge = F.col("lon"), F.col("lat"), F.col("edge")
-    carried = [c for c in (*areas.columns, *points.columns) if c not in (polygon, area_id, point_id)]
+    keys = [c for c in (*areas.columns, *points.columns) if c not in (polygon, "lon", "lat")]
     nearest = F.when(
         F.sum(geo.straddles_east(lon, lat, edge).cast("int")) % 2 == 1, F.lit(0.0),
     ).otherwise(F.min("d"))
-    return opened.groupBy(area_id, point_id).agg(
-        nearest.alias("distance_m"), *[F.first(c).alias(c) for c in carried]).filter(F.col("distance_m") <= radius_m)
+    return opened.groupBy(*keys).agg(nearest.alias("distance_m")).filter(F.col("distance_m") <= radius_m)
 
 
 def area_line_pairs(

@@ -30,7 +30,7 @@ def impact_zone(projects: DataFrame, admin_areas: DataFrame, radius_m: float = 5
     centroids = admin_areas.select(F.col("code").alias("admin_code"), F.col("name").alias("admin_name"), "lon", "lat")
     order = Window.partitionBy("project_id").orderBy("distance_m", "admin_code")
     return (
-        area_point_pairs(areas, centroids, radius_m, "project_id", "admin_code").drop("lon", "lat")
+        area_point_pairs(areas, centroids, radius_m, "admin_code")
         .withColumn("zone_rank", F.row_number().over(order)))
 
 

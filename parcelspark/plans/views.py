@@ -86,7 +86,7 @@ def project_nearby_sales(projects: DataFrame, sales: DataFrame, radius_m: float
         F.col("id").alias("project_id"), F.col("name").alias("project_name"), "project_type", "polygon")
     points = sales.select(
         "source_id", "contract_date", "deal_amount_krw", "area_m2", "transaction_type", "lon", "lat")
-    return area_point_pairs(areas, points, radius_m, "project_id", "source_id").drop("lon", "lat")
+    return area_point_pairs(areas, points, radius_m, "source_id")
 
 
 def yearly_traffic(traffic: DataFrame) -> DataFrame:
