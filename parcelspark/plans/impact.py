@@ -208,7 +208,7 @@ def leave_one_out_error(samples: DataFrame) -> DataFrame:
     Sums over the candidate grid are additive, so every fold is total minus
     own; the samples are read once and never copied per fold.
     """
-    mid = samples.filter(F.col("months_since_anchor").between(0, 24))
+    mid = cut_lineage(samples.filter(F.col("months_since_anchor").between(0, 24)))
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(240)), lambda i: F.lit(-2.0) + i.cast("double") * F.lit(0.05)))
     own = _grid_sums(mid, ["project_id"], grid)
     total = own.groupBy("b").agg(F.sum("ye").alias("tye"), F.sum("ee").alias("tee"))
