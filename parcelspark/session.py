@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: dict[str, str] = {}
+
 
 def local_session(cores: int = 8, name: str = "parcelspark") -> SparkSession:
     """Single-machine session for tests and benchmarks; clusters bring their own."""
@@ -59,3 +63,20 @@ def drop_materialised(df: DataFrame) -> None:
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application.
+
+    Needed where the package is not installed on them; their Python functions import it.
+    """
+    context = spark.sparkContext
+    if _shipped.get("to") == context.applicationId:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="parcelspark-code-")) / "parcelspark_code.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _shipped["to"] = context.applicationId
