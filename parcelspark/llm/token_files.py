@@ -108,12 +108,17 @@ class LibraryPieces:
 _loaded: dict[str, tuple[LibraryPieces, PieceEncoder]] = {}
 
 
-def library_ids(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as the library gives them without special tokens, and each text's number of ids."""
+def loaded(path: str) -> tuple[LibraryPieces, PieceEncoder]:
+    """Tokenizer and piece store of this process."""
     if path not in _loaded:
         library = LibraryPieces(path)
         _loaded[path] = library, PieceEncoder(library)
-    library, encoder = _loaded[path]
+    return _loaded[path]
+
+
+def library_ids(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as the library gives them without special tokens, and each text's number of ids."""
+    library, encoder = loaded(path)
     odd = {i for i, t in enumerate(texts) if t and (BETWEEN in t or any(s in t for s in library.specials))}
     ids, counts = encoder.encode([t if t and i not in odd else "" for i, t in enumerate(texts)])
     if not odd:
@@ -133,7 +138,7 @@ def encode_with_library(docs: DataFrame, path: str, end_id: int, id_column: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             ids, counts = library_ids(batch.column("text").to_pylist(), path)
-            width = 2 if max(_loaded[path][0].size, end_id) < 1 << 16 else 4
+            width = 2 if max(loaded(path)[0].size, end_id) < 1 << 16 else 4
             full = np.empty(len(ids) + len(counts), f"<u{width}")
             ends = np.cumsum(counts + 1)
             last = np.zeros(len(full), bool)
