@@ -43,6 +43,11 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return _tables["kinds"], _tables["hashes"]
 
 
+def code_point_classes() -> np.ndarray:
+    """Class of every code point."""
+    return _classes()[0]
+
+
 def starts_of(points: np.ndarray) -> np.ndarray:
     """Flags of the code points at which a pre-token begins; BREAK is a piece of its own."""
     kinds = _classes()[0][points]

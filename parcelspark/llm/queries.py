@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelspark.llm.bpe_queue import encode_documents
+from parcelspark.llm import langid, toxicity
+from parcelspark.llm.textblocks import remainder
 from parcelspark.llm.token_files import read_token_files, write_token_files
 from parcelspark.llm.topk import quantised, top_products
 from parcelspark.session import shared_folder, ship_package
@@ -29,12 +31,27 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(remainder(F.col("doc_id"), 3) != 1))
+    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_products(vectors, vectors.filter("id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op6_byte_bpe, op8_top_products)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 5) != 0)
+    model = toxicity.train(docs, labels)
+    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op5_token_files, op6_byte_bpe, op7_language, op8_top_products, op10_toxicity)}
 
 ORACLES = {
     "op8_top_products": """
