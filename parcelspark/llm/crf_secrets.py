@@ -37,6 +37,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SAMPLE_DOCS = 1500
 #: Segments taken from one sampled text, and tokens in a segment.
 SEGMENTS, SEGMENT = 4, 40
+MORE = 12
 PIECE = 256
 #: Letters of the random secrets that replace some in training.
 ALPHABETS = ("0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits)
@@ -327,13 +328,15 @@ def _value_spans(text: str) -> list[tuple[int, int]]:
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_docs: int = SAMPLE_DOCS) -> CrfModel:
     """Field fitted to segments of about ``sample_docs`` texts, chosen by id hash and tagged by the patterns.
 
-    From each text come segments around its first secrets and one from a place given by the hash.
+    Of texts with a secret, which are few, MORE times that share is used. From each text come segments
+    around its first secrets and one from a place given by the hash.
     No texts, or none with a secret: the field tags nothing.
     """
     rows = docs.select(F.coalesce(docs[id_column].cast("string"), F.lit("")).alias("id"), docs[text_column].alias("text")).filter("text is not null and text <> ''")
     share = min(1.0, sample_docs / max(rows.count(), 1))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    chosen = rows.withColumn("place", place).filter(F.col("place") <= int(share * (1 << 30)))
+    limit = int(share * (1 << 30))
+    chosen = rows.withColumn("place", place).filter(F.col("place") <= limit * MORE)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -344,9 +347,9 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             out = {"place": [], "number": [], "features": [], "tags": []}
             for k, spot in enumerate(places):
                 lo, hi = int(edges[k]), int(edges[k + 1])
-                if hi == lo:
-                    continue
                 hits = (lo + np.flatnonzero(tags[lo:hi] == BEGIN)).tolist()
+                if hi == lo or (spot > limit and not hits):
+                    continue
                 begins = [max(lo, h - (spot >> 3) % (SEGMENT // 2) - 4) for h in hits[: SEGMENTS - 1]] + [lo + spot % max(hi - lo - SEGMENT, 1)]
                 for number, a in enumerate(begins):
                     b = min(a + SEGMENT, hi)
