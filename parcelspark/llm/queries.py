@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelspark.llm.bpe_queue import encode_documents
-from parcelspark.llm import crf_secrets, langid, toxicity
+from parcelspark.llm import bloom_lm, crf_secrets, langid, toxicity
 from parcelspark.llm.textblocks import remainder
 from parcelspark.llm.token_files import read_token_files, write_token_files
 from parcelspark.llm.topk import quantised, top_products
@@ -20,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bloom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 7) != 2).alias("learn"))
+    found = bloom_lm.score(docs)
+    return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = crf_secrets.scan(docs, crf_secrets.train(docs))
@@ -57,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_secrets, op5_token_files, op6_byte_bpe, op7_language, op8_top_products, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bloom_scores, op4_secrets, op5_token_files, op6_byte_bpe, op7_language, op8_top_products, op10_toxicity)}
 
 ORACLES = {
     "op8_top_products": """
