@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelspark.llm.bpe_queue import encode_documents
-from parcelspark.llm import bloom_lm, crf_secrets, langid, toxicity
+from parcelspark.llm import bloom_lm, crf_secrets, langid, templates, toxicity
 from parcelspark.llm.textblocks import remainder
 from parcelspark.llm.token_files import read_token_files, write_token_files
 from parcelspark.llm.topk import quantised, top_products
@@ -55,6 +55,10 @@ def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(vectors, vectors.filter("id % 50 = 0"), 5)
 
 
+def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 5) != 0)
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_bloom_scores, op4_secrets, op5_token_files, op6_byte_bpe, op7_language, op8_top_products, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bloom_scores, op4_secrets, op5_token_files, op6_byte_bpe, op7_language, op8_top_products, op9_template_leaks, op10_toxicity)}
 
 ORACLES = {
     "op8_top_products": """
