@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelspark.llm.bpe_queue import encode_documents
-from parcelspark.llm import bloom_lm, crf_secrets, langid, minhash_forest, templates, toxicity
+from parcelspark.llm import bloom_lm, crf_secrets, html_trees, langid, minhash_forest, templates, toxicity
 from parcelspark.llm.textblocks import remainder
 from parcelspark.llm.token_files import read_token_files, write_token_files
 from parcelspark.llm.topk import quantised, top_products
@@ -26,6 +26,11 @@ def op1_bloom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_trees.extract(pages, html_trees.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -71,7 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_bloom_scores, op3_minhash_forest, op4_secrets, op5_token_files, op6_byte_bpe, op7_language, op8_top_products, op9_template_leaks, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bloom_scores, op2_main_text, op3_minhash_forest, op4_secrets, op5_token_files, op6_byte_bpe, op7_language, op8_top_products, op9_template_leaks, op10_toxicity)}
 
 ORACLES = {
     "op8_top_products": """
