@@ -234,16 +234,16 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.nda
     return np.concatenate(ids), np.array(counts, np.int64)
 
 
-def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``ids`` (little-endian uint32) and ``decoded`` bytes digests.
 
-    Returns id, n_tokens, ids, ids_sha256, decoded_sha256. A null text counts as
-    empty: no ids, digests of nothing. Repeated rows each give a row; other
-    columns are not read; an empty table gives no rows.
+    Returns doc_id, the columns ``keep``, n_tokens, ids, ids_sha256, decoded_sha256. A null
+    text counts as empty: no ids, digests of nothing. Repeated rows each give a row;
+    other columns are not read; an empty table gives no rows.
     """
     kind = docs.schema[id_column].dataType
     schema = T.StructType([
-        T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),
+        T.StructField("doc_id", kind), *(docs.schema[name] for name in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +258,8 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
             parts = [packed[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             texts = [plain[a:b] for a, b in zip(byte_ends[:-1].tolist(), byte_ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([bytes(p) for p in parts], pa.binary()),
+                batch.column("doc_id"), *(batch.column(name) for name in keep), pa.array(counts, pa.int64()), pa.array([bytes(p) for p in parts], pa.binary()),
                 pa.array([hashlib.sha256(p).hexdigest() for p in parts]), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
                 names=schema.names)
 
-    return docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"), *keep).mapInArrow(run, schema)
