@@ -10,7 +10,8 @@ again as the next stage's ``docs``. All but the last return the columns of ``doc
 * redact_secrets replaces secrets by ``[SECRET]`` and sets ``n_chars`` anew where there were any.
 * encode_bpe returns doc_id, lang, source, n_tokens, ids and digests of the ids and of the decoded bytes.
 
-Rows with a null doc_id pass the second and third stage unmatched.
+A doc_id names one document: of its repeated rows one stays. Rows with a null doc_id pass the
+second and third stage unmatched.
 """
 
 from __future__ import annotations
