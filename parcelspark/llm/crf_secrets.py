@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from parcelspark.llm import pretoken
-from parcelspark.llm.textblocks import slices
+from parcelspark.llm.textblocks import EMPTIERS, slices
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -102,13 +102,18 @@ def token_features(token: str) -> tuple[int, int, int, int]:
 class TokenTable:
     """Features of tokens by hash, filled as tokens come; a full table begins anew."""
 
-    def __init__(self, most: int = 1_000_000):
-        self.most, self.known, self.rows = most, {}, np.zeros((1024, 4), np.int16)
+    def __init__(self, most: int = 250_000):
+        self.most = most
+        self.clear()
+        EMPTIERS.append(self.clear)
+
+    def clear(self) -> None:
+        self.known, self.rows = {}, np.zeros((1024, 4), np.int16)
 
     def rows_of(self, hashes: np.ndarray, texts: str, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
-            self.known, self.rows = {}, np.zeros((1024, 4), np.int16)
+            self.clear()
         known = self.known
         slots = np.fromiter((known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
         new = np.flatnonzero(slots < 0)
@@ -424,7 +429,7 @@ def scan(docs: DataFrame, model: CrfModel, text_column: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, text_column, 2_000_000):
+        for batch in slices(batches, text_column):
             texts = batch.column(text_column).to_pylist()
             every = find_spans(texts, model)
             counts = [[sum(kind == k for _, _, kind in spans) for spans in every] for k in range(3)]

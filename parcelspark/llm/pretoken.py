@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-from parcelspark.llm.textblocks import MIX, mix, ragged
+from parcelspark.llm.textblocks import EMPTIERS, MIX, mix, ragged
 
 LETTER, NUMBER, SPACE, OTHER, BREAK = 0, 1, 2, 3, 4
 #: Noncharacter that stands between texts; texts that hold it take the plain way.
@@ -98,9 +98,10 @@ class PieceEncoder:
     number of ids of each). ``most`` bounds the memory: a fuller store begins anew.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
         self.encode_pieces, self.most = encode_pieces, most
         self._clear()
+        EMPTIERS.append(self._clear)
 
     def _clear(self) -> None:
         self.known: dict[int, int] = {}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,18 +13,33 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 #: Text handled at once in a task, in bytes; a single longer text forms its own slice.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Called at the end of a task: they empty the stores of a process, as Spark keeps its Python workers.
+EMPTIERS: list[Callable[[], None]] = []
+
+
+def tidy() -> None:
+    """Empty all stores and give free memory back to the machine."""
+    for empty in EMPTIERS:
+        empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds at most ``most`` bytes, or one row."""
+    """Cut batches so that ``column`` holds at most ``most`` bytes, or one row; frees memory behind the last."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -31,6 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             stop = max(int(np.searchsorted(ends, total + most, side="right")), begin + 1)
             yield batch.slice(begin, stop - begin)
             begin, total = stop, int(ends[stop - 1])
+    tidy()
 
 
 def words_of(text: str | None) -> list[bytes]:

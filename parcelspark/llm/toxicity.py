@@ -162,7 +162,7 @@ class WordWeights(dict):
         self.number = {p: k for k, p in enumerate(places.tolist())}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = found = tuple(self.number[f] for f in features(word) if f in self.number)
         return found
