@@ -62,3 +62,15 @@ def saturating(count: Column, full_at: float, low: float, high: float) -> Column
     """Confidence growing linearly from ``low`` to ``high`` at ``full_at`` samples."""
     share = F.least(count.cast("double"), F.lit(float(full_at))) / F.lit(float(full_at))
     return round_even(F.lit(low) + F.lit(high - low) * share, 3)
+
+
+def percent_change(new: Column | str, old: Column | str) -> Column:
+    """Change of whole numbers in percent, to two digits, halves away from zero; null where ``old`` is 0.
+
+    Integer arithmetic, so that a half is exact.
+    """
+    base = F.col(old) if isinstance(old, str) else old
+    rise = ((F.col(new) if isinstance(new, str) else new) - base).cast("decimal(20,0)")
+    size = F.nullif(F.abs(base).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    cents = F.floor((F.abs(rise) * 20000 + size) / (size * 2))
+    return F.signum(rise.cast("double")) * F.signum(base.cast("double")) * cents.cast("double") / 100

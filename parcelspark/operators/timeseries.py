@@ -68,9 +68,11 @@ def asof_progress(months: DataFrame, stages: DataFrame, key: str, date: str = "m
     return swept.filter(F.col("_probe") == 1).drop("_probe", "_progress")
 
 
-def _pearson(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sab: Column) -> Column:
-    va, vb = n * saa - sa * sa, n * sbb - sb * sb
-    return (n * sab - sa * sb) / F.nullif(F.sqrt(va) * F.sqrt(vb), F.lit(0.0))
+def _pearson(x: Column, y: Column) -> Column:
+    """Correlation by centred sums, within -1 and 1; no spread counts as 0."""
+    spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    r = F.coalesce(F.nanvl(F.covar_pop(x, y) / spread, F.lit(0.0)), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
 
 
 def pearson_pairs(df: DataFrame, key: str, names: list[str]) -> DataFrame:
@@ -81,9 +83,9 @@ def pearson_pairs(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     """
     sums = [F.count("*").alias("n")]
     for x in names:
-        sums += [F.sum(x).alias(f"s_{x}"), (F.max(x) - F.min(x) < FLAT).alias(f"flat_{x}")]
+        sums.append((F.max(x) - F.min(x) < FLAT).alias(f"flat_{x}"))
     for i, x in enumerate(names):
-        sums += [F.sum(F.col(x) * F.col(y)).alias(f"p_{x}_{y}") for y in names[i:]]
+        sums += [_pearson(F.col(x), F.col(y)).alias(f"p_{x}_{y}") for y in names[i + 1 :]]
     total = df.groupBy(key).agg(*sums)
 
     def cell(x: str, y: str) -> Column:
@@ -92,9 +94,7 @@ def pearson_pairs(df: DataFrame, key: str, names: list[str]) -> DataFrame:
         if x == y:
             r = F.when((F.col("n") >= 3) & flat, F.lit(0.0)).otherwise(F.lit(1.0))
         else:
-            r = F.when((F.col("n") < 3) | flat, F.lit(0.0)).otherwise(round_even(_pearson(
-                F.col("n"), F.col(f"s_{x}"), F.col(f"s_{y}"), F.col(f"p_{x}_{x}"), F.col(f"p_{y}_{y}"),
-                F.col(f"p_{a}_{b}")), 4))
+            r = F.when((F.col("n") < 3) | flat, F.lit(0.0)).otherwise(round_even(F.col(f"p_{a}_{b}"), 4))
         return F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), r.alias("r"))
 
     matrix = F.array(*[cell(x, y) for x in names for y in names])
@@ -117,11 +117,9 @@ def cross_correlation(df: DataFrame, key: str, order: str, a: str, b: str, max_l
         key, (F.col("s.i") - F.col("_i")).alias("lag"), "x", F.col("s.y").alias("y"))
     x, y = F.col("x"), F.col("y")
     stats = pairs.groupBy(key, "lag").agg(
-        F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"),
-        F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
+        F.count("*").alias("n"), _pearson(x, y).alias("raw"),
         ((F.max(x) - F.min(x) < FLAT) | (F.max(y) - F.min(y) < FLAT)).alias("flat"))
-    r = _pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    return stats.select(key, "lag", F.when((F.col("n") < 3) | F.col("flat"), F.lit(0.0)).otherwise(r).alias("r"))
+    return stats.select(key, "lag", F.when((F.col("n") < 3) | F.col("flat"), F.lit(0.0)).otherwise(F.col("raw")).alias("r"))
 
 
 def lead_lag(

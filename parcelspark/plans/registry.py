@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from parcelspark.functions.geo import haversine_km
-from parcelspark.functions.numbers import change, round_even
+from parcelspark.functions.numbers import change, percent_change, round_even
 from parcelspark.operators import timeseries as ts
 from parcelspark.operators.skew import grouped_median, top_rows
 from parcelspark.operators.nearest import topk_cosine
@@ -108,7 +108,7 @@ def g10_price_series(t: StandIn) -> DataFrame:
     return s.select(
         "pnu", views.series_text(F.col("series")).alias("series"), "first_year", "latest_year",
         "earliest_price", "latest_price",
-        round_even(change("latest_price", "earliest_price") * 100, 2).alias("price_change_pct"))
+        percent_change("latest_price", "earliest_price").alias("price_change_pct"))
 
 
 @query

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelspark.functions.numbers import change, round_even, round_up
+from parcelspark.functions.numbers import percent_change, round_up
 from parcelspark.operators.spatial import area_point_pairs
 
 
@@ -150,7 +150,7 @@ def store_full_profile(stores: DataFrame, brands: DataFrame, buildings: DataFram
             "land_area_m2", "building_area_m2", "use_type", "approval_date", "total_floor_area_m2",
             F.map_from_entries("series").alias("price_by_year"), series_text(F.col("series")).alias("price_series"),
             "first_year", "latest_year", "earliest_price", "latest_price",
-            round_even(change("latest_price", "earliest_price") * 100, 2).alias("price_change_pct")))
+            percent_change("latest_price", "earliest_price").alias("price_change_pct")))
 
 
 def rationales_by_category(rationales: DataFrame, key: str) -> DataFrame:

@@ -202,3 +202,20 @@ def test_plans_have_no_cross_join_and_no_row_udf(spark, tables):
                views.project_nearby_sales(tables.projects, tables.land_transactions)):
         text = df._jdf.queryExecution().executedPlan().toString()
         assert not any(bad in text for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython"))
+
+
+def test_correlation_of_a_narrow_range_is_finite(spark):
+    rows = [(1, t, 0.5 + 1e-9 * ((t * 7919) % 13) / 13, 0.5 + 1e-9 * ((t * 104729) % 11) / 11) for t in range(60)]
+    frame = spark.createDataFrame(rows, "k int, t int, a double, b double")
+    want = frame.agg(F.corr("a", "b")).first()[0]
+    lags = {r.lag: r.r for r in ts.cross_correlation(frame, "k", "t", "a", "b").collect()}
+    assert all(-1 <= r <= 1 for r in lags.values())
+    assert abs(lags[0]) in (0.0, abs(want)) or abs(lags[0] - want) < 1e-6
+
+
+def test_percent_change_rounds_halves_away_from_zero(spark):
+    from parcelspark.functions.numbers import percent_change
+
+    rows = [(80000, 80100, 0.13), (80000, 79900, -0.13), (100, 250, 150.0), (0, 5, None), (3, 4, 33.33), (None, 4, None)]
+    got = spark.createDataFrame(rows, "old long, new long, want double").withColumn("got", percent_change("new", "old")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
