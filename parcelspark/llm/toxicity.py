@@ -21,7 +21,7 @@ from parcelspark.llm.textblocks import slices, words_of
 
 BITS = 18
 #: Labelled rows that the classifier is fitted to, at most about; a bound of the method.
-SAMPLE_ROWS = 12000
+SAMPLE_ROWS = 6000
 #: Identity terms by group; a term is swapped for the next of its group.
 IDENTITY = [
     ["women", "men"], ["woman", "man"], ["girls", "boys"], ["girl", "boy"], ["female", "male"], ["she", "he"], ["her", "his"],
