@@ -6,6 +6,8 @@ latitude; up to 20 km this stays within millimetres of the geodesic.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelspark.functions.numbers import round_even
@@ -16,11 +18,11 @@ ECCENTRICITY_SQ = 0.0066943799901413165
 RADIAN = 0.017453292519943295
 EARTH_KM = 6371.0  # mean radius used by the great-circle check
 
-# Lowest latitude gives the shortest degree of latitude; the highest valid
-# latitude gives the shortest degree of longitude. Cells sized from these two
-# always let the eight neighbours cover the radius.
+# Lowest latitude gives the shortest degree of latitude. The width of a cell fits
+# the reference latitude: up to it the eight neighbours cover the radius, beyond
+# it ``lon_reach`` tells how much further west and east to look.
 _MERIDIAN_MIN_M = SEMI_MAJOR_M * (1.0 - ECCENTRICITY_SQ)
-MAX_ABS_LAT = 39.0
+REFERENCE_LAT = 39.0
 
 
 def _radii(lat: Column) -> tuple[Column, Column]:
@@ -176,13 +178,17 @@ def area_line_distance_m(ring_edges: Column, line_edges: Column) -> Column:
     return F.when(crossing | holds, F.lit(0.0)).otherwise(nearest)
 
 
-def cell_size(radius_m: float, max_abs_lat: float = MAX_ABS_LAT) -> tuple[float, float]:
-    """Degree width and height of a grid cell whose neighbours cover ``radius_m``."""
-    import math
-
-    shortest = SEMI_MAJOR_M * math.cos(max_abs_lat * RADIAN) * RADIAN
+def cell_size(radius_m: float, lat: float = REFERENCE_LAT) -> tuple[float, float]:
+    """Degree width and height of a grid cell whose neighbours cover ``radius_m`` at ``lat``."""
+    shortest = SEMI_MAJOR_M * math.cos(lat * RADIAN) * RADIAN
     return radius_m * 1.000001 / shortest, radius_m * 1.000001 / (_MERIDIAN_MIN_M * RADIAN)
 
 
+def lon_reach(abs_lat: Column, radius_m: float, size: tuple[float, float]) -> Column:
+    """Degrees of longitude that cover ``radius_m`` around shapes up to ``abs_lat``, a cell at least."""
+    metres = F.cos(F.least(abs_lat + F.lit(size[1]), F.lit(90.0)) * F.lit(RADIAN)) * F.lit(SEMI_MAJOR_M * RADIAN)
+    return F.least(F.greatest(F.lit(radius_m * 1.000001) / metres, F.lit(size[0])), F.lit(360.0))
+
+
 def cell_of(lon: Column, lat: Column, size: tuple[float, float]) -> tuple[Column, Column]:
     return F.floor(lon / F.lit(size[0])).cast("int"), F.floor(lat / F.lit(size[1])).cast("int")

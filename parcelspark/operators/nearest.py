@@ -18,7 +18,7 @@ from parcelspark.functions.numbers import round_even
 from parcelspark.operators.skew import salted_join, top_rows
 from parcelspark.session import cut_lineage
 
-MAX_PIVOTS = 64
+PIVOTS = 64
 BLOCK = 2048
 DIGITS = 9  # ranks are taken on scores rounded here, ties by id
 
@@ -48,7 +48,7 @@ def _chunk(column: str, parts: Column) -> Column:
 
 def topk_cosine(
     queries: DataFrame, data: DataFrame, query_id: str, data_id: str, vector: str, k: int,
-    exclude_self: bool = False, pivots: int = MAX_PIVOTS, block: int = BLOCK,
+    exclude_self: bool = False, pivots: int = PIVOTS, block: int = BLOCK,
 ) -> DataFrame:
     """(query_id, data_id, score, rank) with the ``k`` best scores per query.
 
@@ -65,8 +65,8 @@ def topk_cosine(
     points = members.filter("_copy = 1").select("rep", "u")
     asked = cut_lineage(q.groupBy("u").agg(F.min("qid").alias("qrep")))
 
-    # At most MAX_PIVOTS vectors reach the driver.
-    chosen = points.orderBy(F.xxhash64("rep"), "rep").limit(min(pivots, MAX_PIVOTS)).collect()
+    # ``pivots`` vectors reach the driver.
+    chosen = points.orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()
     if not chosen:
         return q.select(F.col("qid").alias(query_id), F.lit(None).cast(data.schema[data_id].dataType).alias(data_id),
                         F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)

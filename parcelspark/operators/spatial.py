@@ -34,31 +34,40 @@ def point_pairs(
     """All (query, point) pairs within ``radius_m`` with ``distance_m``.
 
     ``queries`` carries q_lon/q_lat and ``points`` lon/lat; other column names
-    must differ. Points stay in their own cell and each query visits nine, so a
-    pair meets once. Crowded cells are salted.
+    must differ. Points stay in their own cell and each query visits nine (more
+    in a row at high latitudes), so a pair meets once. Crowded cells are salted.
     """
     size = geo.cell_size(radius_m)
-    cx, cy = geo.cell_of(F.col("q_lon"), F.col("q_lat"), size)
+    cy = F.floor(F.col("q_lat") / F.lit(size[1])).cast("int")
     visits = (
         queries.filter(F.col("q_lon").isNotNull() & F.col("q_lat").isNotNull())
-        .withColumn("cx", _around(cx - 1, cx + 1)).withColumn("cy", _around(cy - 1, cy + 1)))
+        .withColumn("_reach", geo.lon_reach(F.abs("q_lat"), radius_m, size))
+        .withColumn("cx", _around(*_columns(F.col("q_lon"), F.col("q_lon"), F.col("_reach"), size)))
+        .withColumn("cy", _around(cy - 1, cy + 1)))
     placed = with_cell(points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()), size)
     # The box test is cheap and drops half of the candidates before any trigonometry.
-    near = (F.abs(F.col("lon") - F.col("q_lon")) <= size[0]) & (F.abs(F.col("lat") - F.col("q_lat")) <= size[1])
+    near = (F.abs(F.col("lon") - F.col("q_lon")) <= F.col("_reach")) & (F.abs(F.col("lat") - F.col("q_lat")) <= size[1])
     met = salted_join(placed, visits, CELL, points.columns, hot_rows).filter(near)
     distance = geo.distance_m(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat"))
-    return _within(met, distance, radius_m).drop(*CELL)
+    return _within(met, distance, radius_m).drop("_reach", *CELL)
 
 
-def _cover(df: DataFrame, vertices: str, size: tuple[float, float]) -> DataFrame:
-    """One row per grid cell of the shape's bounding box plus one ring of cells.
+def _columns(west: Column, east: Column, reach: Column, size: tuple[float, float]) -> tuple[Column, Column]:
+    """First and last grid column within ``reach`` of a span of longitudes."""
+    return tuple(F.floor(x / F.lit(size[0])).cast("int") for x in (west - reach, east + reach))
 
-    One cell is at least the radius wide, so the extra ring is the buffer.
-    """
-    xs = F.transform(F.col(vertices), lambda v: F.floor(v["lon"] / F.lit(size[0])).cast("int"))
+
+def _shape_reach(vertices: str, radius_m: float, size: tuple[float, float]) -> Column:
+    return geo.lon_reach(F.array_max(F.transform(F.col(vertices)["lat"], F.abs)), radius_m, size)
+
+
+def _cover(df: DataFrame, vertices: str, radius_m: float, size: tuple[float, float]) -> DataFrame:
+    """One row per grid cell of the shape's bounding box and its buffer."""
+    lons = F.col(vertices)["lon"]
     ys = F.transform(F.col(vertices), lambda v: F.floor(v["lat"] / F.lit(size[1])).cast("int"))
+    reach = _shape_reach(vertices, radius_m, size)
     return (
-        df.withColumn("cx", _around(F.array_min(xs) - 1, F.array_max(xs) + 1))
+        df.withColumn("cx", _around(*_columns(F.array_min(lons), F.array_max(lons), reach, size)))
         .withColumn("cy", _around(F.array_min(ys) - 1, F.array_max(ys) + 1)))
 
 
@@ -76,12 +85,13 @@ def area_point_pairs(
     """
     size = geo.cell_size(radius_m)
     lons, lats = F.col(polygon)["lon"], F.col(polygon)["lat"]
+    reach = _shape_reach(polygon, radius_m, size)
     covered = _cover(
         areas.filter(F.col(polygon).isNotNull()).withColumn("edges", geo.edges_of(F.col(polygon), closed=True))
         .withColumn("box", F.struct(
-            (F.array_min(lons) - size[0]).alias("w"), (F.array_max(lons) + size[0]).alias("e"),
+            (F.array_min(lons) - reach).alias("w"), (F.array_max(lons) + reach).alias("e"),
             (F.array_min(lats) - size[1]).alias("s"), (F.array_max(lats) + size[1]).alias("n"))),
-        polygon, size).drop(polygon)
+        polygon, radius_m, size).drop(polygon)
     placed = with_cell(points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()), size)
     near = F.col("lon").between(F.col("box.w"), F.col("box.e")) & F.col("lat").between(F.col("box.s"), F.col("box.n"))
     met = salted_join(placed, covered, CELL, [point_id], hot_rows).filter(near)
@@ -104,7 +114,7 @@ def area_line_pairs(
     they share, so no distinct is needed afterwards.
     """
     size = geo.cell_size(radius_m)
-    covered = _cover(areas.filter(F.col(polygon).isNotNull()), polygon, size)
+    covered = _cover(areas.filter(F.col(polygon).isNotNull()), polygon, radius_m, size)
     xs = F.transform(F.col(line), lambda v: F.floor(v["lon"] / F.lit(size[0])).cast("int"))
     ys = F.transform(F.col(line), lambda v: F.floor(v["lat"] / F.lit(size[1])).cast("int"))
     spread = (
@@ -112,10 +122,11 @@ def area_line_pairs(
         .withColumn("lx", F.array_min(xs)).withColumn("ly", F.array_min(ys))
         .withColumn("cx", _around(F.col("lx"), F.array_max(xs)))
         .withColumn("cy", _around(F.col("ly"), F.array_max(ys))))
-    ax = F.transform(F.col(polygon), lambda v: F.floor(v["lon"] / F.lit(size[0])).cast("int"))
+    lons = F.col(polygon)["lon"]
+    west, _ = _columns(F.array_min(lons), F.array_max(lons), _shape_reach(polygon, radius_m, size), size)
     ay = F.transform(F.col(polygon), lambda v: F.floor(v["lat"] / F.lit(size[1])).cast("int"))
     first_shared = (
-        (F.col("cx") == F.greatest(F.array_min(ax) - 1, F.col("lx")))
+        (F.col("cx") == F.greatest(west, F.col("lx")))
         & (F.col("cy") == F.greatest(F.array_min(ay) - 1, F.col("ly"))))
     distance = geo.area_line_distance_m(
         geo.edges_of(F.col(polygon), closed=True), geo.edges_of(F.col(line), closed=False))
@@ -124,8 +135,9 @@ def area_line_pairs(
 
 
 # Nested square grids for nearest-neighbour search, in degrees: each level is
-# four times coarser, and the last one spans any pair of valid coordinates.
-LEVELS = 7
+# four times coarser. On the last but one, neighbours span any pair of valid
+# coordinates (0.005 * 4**8 = 327 degrees), so every point finds a line.
+LEVELS = 10
 FINEST_DEGREES = 0.005
 
 
@@ -145,8 +157,8 @@ def nearest_line(
        meets all possible winners in the nine cells there. Lines are repeated
        over these cells, points are not.
     ``metric='degree'`` ranks by raw coordinates and reports metres;
-    ``metric='metre'`` ranks by metres. Ties go to the smaller id. Points without
-    any line in reach are absent.
+    ``metric='metre'`` ranks by metres. Ties go to the smaller id. Points are
+    absent only where there is no line at all.
     """
     located = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     drawn = lines.filter(F.col(line).isNotNull()).select(line_id, line)

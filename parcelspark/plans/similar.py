@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelspark.functions.numbers import change, round_even
@@ -19,7 +21,9 @@ REGION_WEIGHTS = {
     "road_progress": 0.30, "population_avg": 0.20, "population_growth_3y": 0.20,
     "aadt_avg": 0.15, "aadt_growth_3y": 0.15,
 }
-MAX_PEERS = 100
+FIRST_PEERS = 100  # default of the list of first peers, no bound of the ranking
+BLOCK = 2048  # areas in one side of a matrix product
+DIGITS = 10
 
 
 def normalised_weights(weights: dict[str, float]) -> dict[str, float]:
@@ -100,7 +104,7 @@ def weighted_cosine(a: str, b: str, weights: dict[str, float]) -> Column:
     return F.when(size < 1e-12, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(size, F.lit(0.0)))
 
 
-def region_peers(admin_areas: DataFrame, cap: int = MAX_PEERS) -> DataFrame:
+def region_peers(admin_areas: DataFrame, cap: int = FIRST_PEERS) -> DataFrame:
     """For every area the first ``cap`` other areas of its level by code.
 
     Only the first cap+1 codes of a level can ever be peers, a table whose size
@@ -115,20 +119,57 @@ def region_peers(admin_areas: DataFrame, cap: int = MAX_PEERS) -> DataFrame:
         "code", "peer_code")
 
 
+def best_peers(features: DataFrame, weights: dict[str, float], top_n: int) -> DataFrame:
+    """(code, peer_code): per area the best ``top_n`` of each block of its level.
+
+    Hashed parts of the areas meet hashed blocks of their level as matrix products;
+    only the best of each block leave a task. Missing levels have no peers.
+    """
+    biggest = features.groupBy("level").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-biggest // BLOCK))
+    own = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    scaled = F.array(*[F.col(c) * F.lit(w) for c, w in normalised_weights(weights).items()])
+    rows = features.filter("level is not null and code is not null").select("level", "code", scaled.alias("v"), own.alias("own"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"code": [], "peer_code": []}, dtype=object)
+        right = right.sort_values("peer_code")
+        a, b = np.vstack(left["v"].to_list()), np.vstack(right["peer_v"].to_list())
+        size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+        scores = np.round(np.divide(a @ b.T, size, out=np.zeros_like(size), where=size >= 1e-12), DIGITS)
+        # stable, so ties keep the order of codes; one more for the area itself
+        first = np.argsort(-scores, axis=1, kind="stable")[:, : top_n + 1]
+        found = pd.DataFrame({
+            "code": np.repeat(left["code"].to_numpy(), first.shape[1]), "peer_code": right["peer_code"].to_numpy()[first.ravel()]})
+        return found[found["code"] != found["peer_code"]]
+
+    asked = rows.select("level", F.col("own").alias("part"), every.alias("block"), "code", "v")
+    held = rows.select(
+        F.col("level").alias("peer_level"), every.alias("peer_part"), F.col("own").alias("peer_block"),
+        F.col("code").alias("peer_code"), F.col("v").alias("peer_v"))
+    return asked.groupBy("level", "part", "block").cogroup(
+        held.groupBy("peer_level", "peer_part", "peer_block")).applyInPandas(best, "code string, peer_code string")
+
+
 def similar_regions(
-    features: DataFrame, top_n: int = 10, weights: dict[str, float] = REGION_WEIGHTS, cap: int = MAX_PEERS
+    features: DataFrame, top_n: int = 10, weights: dict[str, float] = REGION_WEIGHTS, first_peers: int | None = None
 ) -> DataFrame:
     """Best ``top_n`` peers per area by weighted cosine; ties go to the code.
 
-    Ranked on ten digits, so that equal directions tie whatever the noise.
+    Ranked over all areas of the level, or over its ``first_peers`` first codes, on
+    ten digits, so that equal directions tie whatever the noise.
     """
+    features = cut_lineage(features)
+    pairs = region_peers(features, first_peers) if first_peers else best_peers(features, weights, top_n)
     left = features.select(F.col("code"), *[F.col(c).alias("a_" + c) for c in weights])
     right = features.select(
         F.col("code").alias("peer_code"), F.col("name").alias("peer_name"), *[F.col(c).alias("b_" + c) for c in weights])
     scored = (
-        region_peers(features, cap).join(left, "code").join(right, "peer_code")
+        pairs.join(left, "code").join(right, "peer_code")
         .withColumn("raw", weighted_cosine("a_", "b_", weights)))
-    ranked = top_rows(scored, ["code"], [round_even("raw", 10).desc(), F.col("peer_code").asc()], top_n)
+    ranked = top_rows(scored, ["code"], [round_even("raw", DIGITS).desc(), F.col("peer_code").asc()], top_n)
     n = F.count("*").over(Window.partitionBy("code"))
     return ranked.select(
         "code", "peer_code", "peer_name", round_even("raw", 4).alias("score"), "rank",

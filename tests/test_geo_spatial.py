@@ -45,6 +45,30 @@ def test_point_pairs_match_brute_force_also_when_salted(spark, hot_rows):
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_pairs_are_found_at_any_latitude(spark):
+    for lat in (-71.0, 45.0, 60.0, 80.0):
+        q, p = scatter(30, 3, lat=(lat, lat + 0.1)), scatter(90, 4, lat=(lat, lat + 0.1))
+        got = {(r.q, r.p) for r in point_pairs(
+            spark.createDataFrame(q, "q long, q_lon double, q_lat double"),
+            spark.createDataFrame(p, "p long, lon double, lat double"), 4000.0).collect()}
+        assert got == {(a[0], b[0]) for a in q for b in p if metres(a[1], a[2], b[1], b[2]) <= 4000.0}
+        shape = [{"lon": x, "lat": y} for x, y in ring(126.9, lat + 0.05, 0.001)]
+        areas = spark.createDataFrame([(1, shape)], "a long, polygon array<struct<lon:double,lat:double>>")
+        east = 126.901 + 4900 / metres(126.9, lat + 0.05, 127.9, lat + 0.05)
+        near = spark.createDataFrame([(1, east, lat + 0.05)], "p long, lon double, lat double")
+        assert area_point_pairs(areas, near, 5000.0, "p").count() == 1
+        line = [{"lon": east, "lat": lat + 0.0495}, {"lon": east, "lat": lat + 0.0505}]
+        lines = spark.createDataFrame([(7, line)], "l long, line array<struct<lon:double,lat:double>>")
+        assert area_line_pairs(areas, lines, 5000.0, "a", "l").count() == 1
+
+
+def test_nearest_line_has_no_bound_of_distance(spark):
+    points = spark.createDataFrame([(1, 126.9, 37.5), (2, -70.0, -30.0)], "p long, lon double, lat double")
+    line = [{"lon": 127.0, "lat": 37.5}, {"lon": 127.1, "lat": 37.5}]
+    lines = spark.createDataFrame([(7, line)], "l long, line array<struct<lon:double,lat:double>>")
+    assert {(r.p, r.l) for r in nearest_line(points, lines, "p", "l").collect()} == {(1, 7), (2, 7)}
+
+
 def ring(lon, lat, half):
     return [(lon + half * a, lat + half * b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
 

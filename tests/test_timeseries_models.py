@@ -189,6 +189,27 @@ def test_classifier_on_separable_rows(spark, tmp_path):
     assert counts <= 1
 
 
+def test_similar_regions_rank_over_all_areas_of_a_level(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 40)
+    names = list(similar.REGION_WEIGHTS)
+    r = random.Random(5)
+    rows = [(f"{i:04d}", f"n{i}", "city" if i % 3 else "town", *[float(r.randint(-9, 9)) for _ in names]) for i in range(260)]
+    rows[200] = rows[200][:3] + (0.0,) * 5
+    df = spark.createDataFrame(rows, "code string, name string, level string, " + ", ".join(f"{n} double" for n in names))
+    got = {}
+    for hit in similar.similar_regions(df, top_n=3).orderBy("code", "rank").collect():
+        got.setdefault(hit.code, []).append(hit.peer_code)
+
+    def cosine(a, b):
+        x, y = ([v * w for v, w in zip(r[3:], similar.REGION_WEIGHTS.values())] for r in (a, b))
+        size = sum(v * v for v in x) ** 0.5 * sum(v * v for v in y) ** 0.5
+        return round(sum(v * w for v, w in zip(x, y)) / size, 10) if size >= 1e-12 else 0.0
+
+    want = {a[0]: [b[0] for b in sorted((b for b in rows if b[2] == a[2] and b[0] != a[0]), key=lambda b: (-cosine(a, b), b[0]))[:3]] for a in rows}
+    assert got == want
+    assert max(p for peers in got.values() for p in peers) > "0200"
+
+
 def test_neutral_score_without_model(spark):
     got = siting.score(features(spark), None, "DI").first()
     assert (got.score_raw, got.score_100, got.label_text, got.confidence) == (0.5, 50, "medium", 0.20)
