@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 #: Text handled at once in a task, in bytes; a single longer text forms its own slice.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
