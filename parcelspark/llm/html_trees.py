@@ -29,7 +29,8 @@ from parcelspark.llm.textblocks import slices
 #: Pages that the trees are fitted to, at most about; a bound of the method. Rebuilt layouts of each.
 SAMPLE_PAGES, LAYOUTS = 250, 4
 #: Elements of HTML. Raw ones have no text of the page, block ones cut it.
-RAW = "script|style|noscript|template|textarea|select|svg|iframe|object|title|math|canvas|audio|video"
+#: Of svg, a self-closed tag is the whole element.
+RAW = "script|style|noscript|template|textarea|select|iframe|title|canvas|audio|video"
 BLOCK = frozenset("""html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
     header hgroup hr legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul""".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
@@ -37,7 +38,7 @@ VOID = frozenset("hr br img input meta link area base col embed source track wbr
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL | re.IGNORECASE)
+PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>]*(?:(?<=/)>|>.*?(?:</svg\s*>|\Z))|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 #: Attribute tokens by what they tell.
 LEXICON = [
