@@ -9,11 +9,15 @@ numbers or names is found, and text that merely has the same placeholders is not
 
 Definitions
 * Words: the text cut at white space, marks trimmed from both ends, words of marks only left out.
-* Number: begins with a digit. Unit: one of UNITS after a number. Name: a capital letter followed by a
-  small letter, not at the beginning of a text or after a word that ends with . ! ? or :
-* An item shorter than ``width`` words is one window of its own length; items below ``least`` words are not searched.
-* Windows with more than ``width - literals`` placeholders are not used (an item's own shorter window: more than half).
-* A document is contaminated by an item if the windows found cover at least ``coverage`` of the item's windows.
+* Number: begins with a digit. Unit: one of UNITS after a number. Name: a capital letter followed by a small letter.
+  At the beginning of a text or after a word that ends with . ! ? or : such a word can be a name or a plain word: it has both codes.
+  Items have a window for each choice of codes; documents have two, one with all such words plain and one with all of them names.
+* An item shorter than ``width`` words is one window of its own length.
+* Windows with more than ``width - literals`` placeholders (an item's own shorter window: more than half), and items below ``least``
+  words, match only verbatim, but for case: they have the hash of their lower-cased words.
+* An occurrence is judged three times: by its verbatim windows, by those with plain words at beginnings, and by all.
+* A document is contaminated by an item if the places found cover at least ``coverage`` of the item's windows, or of those that can match
+  with other values.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ UNITS = [
 ]
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…–—¿¡"
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Kinds of windows: all words as they are, plain words at beginnings, names at beginnings.
+VERBATIM, PLAIN, NAMED = 0, 1, 2
 #: Bits of the bitmap, a fixed size.
 MAP_BITS = 1 << 19
 #: Benchmark windows up to this number of rows are broadcast (about 200 bytes each); beyond, Spark joins by shuffle.
@@ -41,11 +47,16 @@ def _digit(word: Column) -> Column:
 
 
 def with_template(rows: DataFrame, text: str) -> DataFrame:
-    """Rows with ``words`` (trimmed, as written) and ``template`` (hash of each word or placeholder code)."""
+    """Rows with ``words`` (trimmed, as written), ``template`` (hash of each word or placeholder code), ``starts`` (places of
+    words that are plain there and may be names) and ``named`` (the template with names there)."""
     pieces = F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\r\f\v   ", " " * 8), " ")
     rows = rows.withColumn("pieces", F.filter(pieces, lambda x: F.btrim(x, F.lit(MARKS)) != ""))
     rows = rows.withColumn("words", F.transform("pieces", lambda x: F.btrim(x, F.lit(MARKS))))
 
+    def shaped(word: Column) -> Column:
+        second = F.substring(word, 2, 1)
+        return (((word >= "A") & (word < "[")) | ((word >= "À") & (word < "ß"))) & (((second >= "a") & (second < "{")) | (second >= "ß"))
+
     def code(word: Column, at: Column) -> Column:
         literal = F.xxhash64(F.lower(word))
         before = F.get(F.col("pieces"), at - 1)
@@ -58,12 +69,19 @@ def with_template(rows: DataFrame, text: str) -> DataFrame:
                 .when(after_number & F.lower(word).isin(UNITS), F.lit(UNIT).cast("long"))
                 .otherwise(literal))
 
-    return rows.withColumn("template", F.transform("words", code)).drop("pieces")
+    rows = rows.withColumn("template", F.transform("words", code))
+    every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("starts", F.filter(every, lambda i: ~F.get(F.col("template"), i).between(NUMBER, UNIT) & shaped(F.get(F.col("words"), i))))
+    return rows.withColumn("named", F.transform("template", lambda t, i: F.when(F.array_contains("starts", i), F.lit(NAME).cast("long")).otherwise(t))).drop("pieces")
+
+
+def _places(template: Column, width: int) -> Column:
+    """Places of all windows of ``width`` words; none if there are fewer words."""
+    return F.when(F.size(template) >= width, F.sequence(F.lit(0), F.size(template) - width)).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(template: Column, width: int) -> Column:
-    """Hashes of all windows of ``width`` words; none if there are fewer words."""
-    places = F.when(F.size(template) >= width, F.sequence(F.lit(0), F.size(template) - width)).otherwise(F.array().cast("array<int>"))
+def _hashes(template: Column, places: Column, width: int) -> Column:
+    """Hashes of the windows of ``width`` words at ``places``."""
     return F.transform(places, lambda i: F.xxhash64(F.lit(width), *(F.get(template, i + k) for k in range(width))))
 
 
@@ -71,23 +89,36 @@ def _values(words: Column, at: Column, width: int | Column) -> Column:
     return F.transform(F.slice(words, at + 1, width), lambda w: F.xxhash64(F.lower(w)))
 
 
-def benchmark_windows(benchmark: DataFrame, width: int, literals: int, least: int) -> tuple[DataFrame, list[int]]:
-    """Windows of all distinct item texts, and the window lengths in use (``width`` and those of shorter items)."""
+def benchmark_windows(benchmark: DataFrame, width: int, literals: int, least: int) -> tuple[DataFrame, list[tuple[int, bool]]]:
+    """Windows of all distinct item texts, and the window lengths in use (``width`` and those of shorter items) with
+    whether any of that length match verbatim only."""
     items = benchmark.filter("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    items = materialise(with_template(items, "text").withColumn("n", F.least(F.size("words"), F.lit(width))).filter(F.col("n") >= least), "templates-items")
+    items = materialise(with_template(items, "text").withColumn("n", F.least(F.size("words"), F.lit(width))).filter(F.col("n") > 0), "templates-items")
     lengths = sorted(row.n for row in items.select("n").distinct().collect())  # at most width values
     parts = []
     for n in lengths:
-        own = items.filter(F.col("n") == n).withColumn("hashes", _windows(F.col("template"), n))
-        own = own.select("item_id", "words", "template", F.posexplode("hashes").alias("item_at", "hash"))
-        slots = F.transform(F.slice("template", F.col("item_at") + 1, n), lambda t: t.between(NUMBER, UNIT))
-        own = own.select("item_id", "item_at", "hash", slots.alias("slots"), _values(F.col("words"), F.col("item_at"), n).alias("item_values"))
+        own = items.filter(F.col("n") == n).select("item_id", "words", "template", "starts", F.explode(_places(F.col("template"), n)).alias("item_at"))
+        own = own.select("item_id", "item_at", F.slice("template", F.col("item_at") + 1, n).alias("window"), _values(F.col("words"), F.col("item_at"), n).alias("item_values"),
+                         F.filter(F.transform("starts", lambda i: i - F.col("item_at")), lambda i: i.between(0, n - 1)).alias("starts"))
         few = n - literals if n == width else n // 2
-        parts.append(own.filter(F.size(F.filter("slots", lambda s: s)) <= few))
+        # a window for each choice of codes, at most ``few`` of them names
+        slotted = lambda codes: F.size(F.filter(codes, lambda t: t.between(NUMBER, UNIT)))
+        named = lambda codes, at: F.transform(codes, lambda t, i: F.when(i == at, F.lit(NAME).cast("long")).otherwise(t))
+        choices = F.aggregate("starts", F.array("window"), lambda have, at: F.concat(have, F.filter(F.transform(have, lambda codes: named(codes, at)), lambda codes: slotted(codes) <= few)))
+        choices = F.filter(choices, lambda codes: slotted(codes) <= few) if n >= least else F.array().cast("array<array<long>>")
+        own = own.withColumn("choices", choices)
+        own = own.withColumn("literal", F.size("choices") == 0).withColumn("codes", F.explode(F.when(F.col("literal"), F.array("item_values")).otherwise(F.col("choices"))))
+        slots = F.transform("codes", lambda t: t.between(NUMBER, UNIT))
+        parts.append(own.select("item_id", "item_at", F.xxhash64(F.lit(n), *(F.get("codes", F.lit(k)) for k in range(n))).alias("hash"), slots.alias("slots"), "item_values", "literal",
+                                (F.col("codes") == F.col("window")).alias("plain"), F.lit(n).alias("n")))
     windows = parts[0] if parts else None
     for part in parts[1:]:
         windows = windows.unionByName(part)
-    return windows, lengths
+    if windows is None:
+        return None, []
+    windows = materialise(windows, "templates-windows")
+    kinds = {row.n: row.literal for row in windows.groupBy("n").agg(F.max("literal").alias("literal")).collect()}
+    return windows, sorted(kinds.items())
 
 
 def _bitmap(windows: DataFrame) -> DataFrame:
@@ -111,33 +142,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     windows, lengths = benchmark_windows(benchmark.select("item_id", "text"), width, literals, least)
     if windows is None:
         return spark.createDataFrame([], schema)
-    windows = materialise(windows, "templates-windows")
     few = windows.count() <= BROADCAST_ROWS
     texts = with_template(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), "text").drop("text")
     texts = texts.withColumn("map", _bitmap(windows).scalar())
     found = []
-    for n in lengths:
-        rows = texts.withColumn("hashes", _windows(F.col("template"), n))
-        there = lambda i: F.get(F.col("map"), F.shiftright(F.get(F.col("hashes"), i).bitwiseAND(F.lit(MAP_BITS - 1)), 6).cast("int"))
-        places = F.when(F.size("hashes") > 0, F.sequence(F.lit(0), F.size("hashes") - 1)).otherwise(F.array().cast("array<int>"))
-        passing = F.filter(places, lambda i: F.getbit(there(i), F.get(F.col("hashes"), i).bitwiseAND(F.lit(63)).cast("int")) == 1)
-        hits = F.transform(passing, lambda i: F.struct(F.get(F.col("hashes"), i).alias("hash"), i.alias("doc_at"), _values(F.col("words"), i, n).alias("values")))
+    for n, literal in lengths:
+        touched = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.filter(F.sequence(p - (n - 1), p), lambda i: (i >= 0) & (i <= F.size("words") - n)))))
+        rows = texts.withColumn(f"places{PLAIN}", _places(F.col("template"), n)).withColumn(f"places{NAMED}", touched)
+        rows = rows.withColumn(f"hashes{PLAIN}", _hashes(F.col("template"), F.col(f"places{PLAIN}"), n)).withColumn(f"hashes{NAMED}", _hashes(F.col("named"), F.col(f"places{NAMED}"), n))
+        if literal:
+            rows = rows.withColumn("plain_words", F.transform("words", lambda w: F.xxhash64(F.lower(w)))).withColumn(f"places{VERBATIM}", F.col(f"places{PLAIN}"))
+            rows = rows.withColumn(f"hashes{VERBATIM}", _hashes(F.col("plain_words"), F.col(f"places{VERBATIM}"), n))
+
+        def passing(kind: int, n: int = n) -> Column:
+            hashes, places = F.col(f"hashes{kind}"), F.col(f"places{kind}")
+            there = lambda i: F.get(F.col("map"), F.shiftright(F.get(hashes, i).bitwiseAND(F.lit(MAP_BITS - 1)), 6).cast("int"))
+            every = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
+            kept = F.filter(every, lambda i: F.getbit(there(i), F.get(hashes, i).bitwiseAND(F.lit(63)).cast("int")) == 1)
+            return F.transform(kept, lambda i: F.struct(F.get(hashes, i).alias("hash"), F.get(places, i).alias("doc_at"), _values(F.col("words"), F.get(places, i), n).alias("values"), F.lit(kind).alias("kind")))
+
+        hits = F.concat(*(passing(kind) for kind in ((VERBATIM,) if literal else ()) + (PLAIN, NAMED)))
         found.append(rows.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.*"))
     hits = found[0]
     for part in found[1:]:
         hits = hits.unionByName(part)
     pairs = hits.join(F.broadcast(windows) if few else windows, "hash")
     slots = F.filter(F.arrays_zip("slots", "item_values", "values"), lambda z: z["slots"])
-    pairs = pairs.select("doc_id", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), (F.col("values") == F.col("item_values")).alias("same"),
-                         F.transform(slots, lambda z: F.struct(z["item_values"].alias("own"), z["values"].alias("here"))).alias("slots"))
+    same, basic = F.col("values") == F.col("item_values"), F.col("plain") & (F.col("kind") == PLAIN)
+    judged = F.array_compact(F.array(F.when(same, F.lit(VERBATIM)), F.when(basic & ~F.col("literal"), F.lit(PLAIN)), F.when(~F.col("literal"), F.lit(NAMED))))
+    pairs = pairs.filter(~F.col("literal") | same).select(
+        "doc_id", "item_id", "item_at", "n", "literal", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), same.alias("same"),
+        F.transform(slots, lambda z: F.struct(z["item_values"].alias("own"), z["values"].alias("here"))).alias("slots"), judged.alias("judged"))
+    pairs = pairs.withColumn("judged", F.explode("judged"))
     # sets are bounded by the length of an item
-    occurrence = pairs.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.collect_set("item_at").alias("places"), F.min("same").alias("same"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    occurrence = pairs.groupBy("doc_id", "item_id", "diagonal", "judged").agg(
+        F.sort_array(F.collect_set(F.struct("item_at", "literal"))).alias("places"), F.min("same").alias("same"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     steady = F.size(F.array_distinct(F.transform("slots", lambda s: s["own"]))) == F.size("slots")
     by_item = (occurrence.filter(steady).select("doc_id", "item_id", "same", F.explode("places").alias("place"))
                .groupBy("doc_id", "item_id", "place").agg(F.max("same").alias("same"))
-               .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"), F.min("same").alias("same")))
-    sizes = windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+               .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"), F.count_if(~F.col("place.literal")).alias("free_found"), F.min("same").alias("same")))
+    sizes = windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.countDistinct(F.when(~F.col("literal"), F.col("item_at"))).alias("n_free"))
     share = F.col("n_found") / F.col("n_windows")
-    return (by_item.join(F.broadcast(sizes) if few else sizes, "item_id").filter(share >= coverage)
+    enough = (share >= coverage) | ((F.col("n_free") > 0) & (F.col("free_found") >= coverage * F.col("n_free")))
+    return (by_item.join(F.broadcast(sizes) if few else sizes, "item_id").filter(enough)
             .select("doc_id", "item_id", "n_found", "n_windows", share.alias("share"), (F.col("same") & (F.col("n_found") == F.col("n_windows"))).alias("exact")))
