@@ -17,7 +17,7 @@ Definitions
   words, match only verbatim, but for case: they have the hash of their lower-cased words.
 * An occurrence is judged three times: by its verbatim windows, by those with plain words at beginnings, and by all.
 * A document is contaminated by an item if the places found cover at least ``coverage`` of the item's windows, or of those that can match
-  with other values.
+  with other values, or if an occurrence has at least ``run`` consecutive words of the item.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def _bitmap(windows: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 8, literals: int = 5,
-                 least: int = 5, coverage: float = 0.5) -> DataFrame:
+                 least: int = 5, coverage: float = 0.5, run: int = 13) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, n_found, n_windows, share, exact.
 
     ``n_found`` of the item's ``n_windows`` windows are in the document; ``exact`` if all of them with the item's own values.
@@ -178,11 +178,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     occurrence = pairs.groupBy("doc_id", "item_id", "diagonal", "judged").agg(
         F.sort_array(F.collect_set(F.struct("item_at", "literal"))).alias("places"), F.min("same").alias("same"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     steady = F.size(F.array_distinct(F.transform("slots", lambda s: s["own"]))) == F.size("slots")
-    by_item = (occurrence.filter(steady).select("doc_id", "item_id", "same", F.explode("places").alias("place"))
-               .groupBy("doc_id", "item_id", "place").agg(F.max("same").alias("same"))
-               .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"), F.count_if(~F.col("place.literal")).alias("free_found"), F.min("same").alias("same")))
+    # windows side by side from one place on; the first and the last of them tell, as places are distinct and sorted
+    far = F.greatest(F.lit(run) - F.col("n"), F.lit(0))
+    long_run = F.exists(F.transform("places", lambda p, j: F.coalesce(F.get(F.col("places"), j + far)["item_at"] == p["item_at"] + far, F.lit(False))), lambda x: x) & (F.col("n") == width)
+    by_item = (occurrence.filter(steady).select("doc_id", "item_id", "same", long_run.alias("long_run"), F.explode("places").alias("place"))
+               .groupBy("doc_id", "item_id", "place").agg(F.max("same").alias("same"), F.max("long_run").alias("long_run"))
+               .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"), F.count_if(~F.col("place.literal")).alias("free_found"), F.min("same").alias("same"), F.max("long_run").alias("long_run")))
     sizes = windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.countDistinct(F.when(~F.col("literal"), F.col("item_at"))).alias("n_free"))
     share = F.col("n_found") / F.col("n_windows")
-    enough = (share >= coverage) | ((F.col("n_free") > 0) & (F.col("free_found") >= coverage * F.col("n_free")))
+    enough = (share >= coverage) | ((F.col("n_free") > 0) & (F.col("free_found") >= coverage * F.col("n_free"))) | F.col("long_run")
     return (by_item.join(F.broadcast(sizes) if few else sizes, "item_id").filter(enough)
             .select("doc_id", "item_id", "n_found", "n_windows", share.alias("share"), (F.col("same") & (F.col("n_found") == F.col("n_windows"))).alias("exact")))
