@@ -389,7 +389,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def find_spans(texts: list[str | None], model: CrfModel) -> list[list[tuple[int, int, int]]]:
-    """(start, end, kind number) of every text: all base spans, and those of the field that touch none of them."""
+    """(start, end, kind number) of every text: all base spans, and those of the field that do not lie inside one of them."""
     texts = [text or "" for text in texts]
     found = [base_spans(text) for text in texts]
     tokens = tokens_of(texts)
@@ -407,7 +407,7 @@ def find_spans(texts: list[str | None], model: CrfModel) -> list[list[tuple[int,
             stop += 1
         span = int(tokens.begins[at]), int(tokens.ends[stop - 1])
         own = found[tokens.text[at]]
-        if all(span[1] <= a or b <= span[0] for a, b, kind in own if kind < 3):
+        if not any(a <= span[0] and span[1] <= b for a, b, kind in own if kind < 3):
             own.append((*span, 3))
     return [sorted(own, key=lambda s: (s[0], s[2])) for own in found]
 
