@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -13,7 +14,10 @@ from parcelspark.operators.skew import grouped_median, top_rows
 from parcelspark.operators.nearest import topk_cosine
 from parcelspark.plans import features, forecast, halo, impact, rationale, roads, similar, siting, views
 from parcelspark.operators import sinks
+from parcelspark.operators.snapshots import SnapshotTable
+from parcelspark.session import cut_lineage, shared_folder
 from parcelspark.sources import feeds
+from parcelspark.streaming import ingest
 from parcelspark.sources.standin import AS_OF, StandIn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -651,6 +655,17 @@ def s6_building_feeds(t: StandIn) -> DataFrame:
     return feeds.normalise_buildings(feeds.with_fields(registry), feeds.with_fields(title)).drop("raw_data")
 
 
+@query
+def s6_p5_stored_buildings(t: StandIn) -> DataFrame:
+    """Registry rows as the building table takes them: typed approval date, district of the parcel id; parcels of 18 digits are rejects."""
+    b = t.buildings
+    day = F.when(F.col("parcel_area_m2") % 100 == 0, F.date_format("approval_date", "yyyy-MM-dd")).otherwise(F.date_format("approval_date", "yyyyMMdd"))
+    raw = b.select(F.when(F.col("parcel_area_m2") == 350, F.substring("pnu", 1, 18)).otherwise(F.col("pnu")).alias("pnu"), _json(
+        address=F.col("region_code"), platArea=F.col("parcel_area_m2").cast("string"), use_type=F.col("use_type"), useAprDay=day).alias("raw"))
+    typed = feeds.checked(feeds.storable_buildings(feeds.normalise_registry(feeds.with_fields(raw))), "buildings")
+    return typed.select("pnu", "region_code", "approval_date", "parcel_area_m2", "use_type", "error")
+
+
 @query
 def s7_parcel_characteristics(t: StandIn) -> DataFrame:
     raw = t.buildings.select("pnu", _json(
@@ -673,6 +688,23 @@ def s8_store_feeds(t: StandIn) -> DataFrame:
         feeds.normalise_stores(feeds.unwrap(second), "맥도날드")).drop("raw_data", "_item")
 
 
+def _store_pages(t: StandIn) -> DataFrame:
+    """Store records of one catalogue, some without a source id and some outside the service area."""
+    lat = F.when(F.col("id") % 9 == 0, F.lit(0.0)).when(F.col("id") % 13 == 0, F.col("lat") + 5).otherwise(F.col("lat"))
+    return t.stores.select(F.concat(F.lit('{"stores":['), _json(
+        s_code=F.when(F.col("id") % 17 != 0, F.col("id").cast("string")), s_name=F.col("name"), addr=F.col("address"),
+        lat=lat, lot=F.col("lon")), F.lit("]}")).alias("payload"))
+
+
+@query
+def s8_k3_p1_stored_stores(t: StandIn) -> DataFrame:
+    """Catalogue rows as the store table takes them: brand id, own id, outcome under the table's rules."""
+    typed = cut_lineage(ingest.with_outcome(feeds.normalise_stores(feeds.unwrap(_store_pages(t)), "스타벅스"), "stores"))
+    brands = sinks.surrogate_ids(t.store_brands.limit(0).select(F.lit(0).alias("id"), "name"), typed.select(F.col("brand").alias("name")))
+    known = t.stores.filter("store_type = 'DT'").select("id", F.lit(1).alias("brand_id"), F.col("id").cast("string").alias("source_id"))
+    return feeds.storable_stores(typed, brands, known).select("id", "brand_id", "source_id", "name", "lat", "lon", "outcome", "error")
+
+
 @query
 def s9_j19_geocode_match(t: StandIn) -> DataFrame:
     """Two search hits per store, the second named with the type's suffix."""
@@ -744,12 +776,68 @@ def k3_brand_ids(t: StandIn) -> DataFrame:
         F.sum((F.col("id") == F.col("old")).cast("int")).alias("kept"))
 
 
+@query
+def k3_named_ids(t: StandIn) -> DataFrame:
+    """A row per customer name: a third of them keep their id, the others follow the highest one without a gap."""
+    c = t.raw("customer")
+    known = c.filter("c_custkey % 3 = 0").groupBy(F.col("c_name").alias("name")).agg(F.min("c_custkey").cast("bigint").alias("id"))
+    return sinks.surrogate_ids(known, c.select(F.col("c_name").alias("name")), part_rows=1000).select("name", "id")
+
+
+def _price_table(t: StandIn, use: str) -> SnapshotTable:
+    folder = f"{shared_folder(t.spark)}/{use}-{uuid.uuid4().hex}"
+    return SnapshotTable(t.spark, folder, t.official_land_prices.withColumn("note", F.lit("")).schema, ["pnu", "year"], "year")
+
+
+@query
+def k1_snapshot_prices(t: StandIn) -> DataFrame:
+    """The corrections applied to stored prices, twice: the second time changes nothing."""
+    stored = _price_table(t, "k1-prices")
+    stored.upsert(t.official_land_prices.withColumn("note", F.lit("stored")), ["price_per_m2"])
+    for _ in range(2):
+        stored.upsert(_corrections(t).withColumn("note", F.lit("incoming")), ["price_per_m2"])
+    return stored.read()
+
+
+@query
+def k2_snapshot_absent_prices(t: StandIn) -> DataFrame:
+    """The corrections offered to stored prices where only unknown keys are taken."""
+    stored = _price_table(t, "k2-prices")
+    stored.replace(t.official_land_prices.withColumn("note", F.lit("stored")))
+    stored.insert_absent(_corrections(t).withColumn("note", F.lit("incoming")))
+    return stored.read()
+
+
+@query
+def k8_reloaded_prices(t: StandIn) -> DataFrame:
+    """The price table emptied and loaded anew with the corrections alone."""
+    root = f"{shared_folder(t.spark)}/k8-{uuid.uuid4().hex}"
+    for rows in (t.official_land_prices, _corrections(t)):
+        sinks.reload({"official_land_prices": rows}, root)
+    return sinks.stored(t.spark, root, "official_land_prices").select("pnu", "year", "price_per_m2")
+
+
+@query
+def k6_g16_t1_ledger(t: StandIn) -> DataFrame:
+    """Sales pages ingested twice: outcomes by file, and how often each reject text came."""
+    root = f"{shared_folder(t.spark)}/k6-{uuid.uuid4().hex}"
+    pages = _sales_pages(t).withColumn("_path", F.concat(F.lit("sales/"), "year_month"))
+    rows = feeds.normalise_sales(feeds.unwrap(pages))
+    for _ in range(2):
+        ingest.ingest(rows, root, "land_transactions", "molit", f"{root}/_ledger/batch=0", f"{root}/rejects", f"{root}/counts")
+    bad = sinks.rejects_table(t.spark, f"{root}/rejects").read().groupBy("source_file").agg(F.sum("times").alias("rows"))
+    counts = sinks.counts_table(t.spark, f"{root}/counts").read().select("source_file", "outcome", "rows")
+    kept = sinks.stored(t.spark, root, "land_transactions").agg(F.count("*").alias("rows"))
+    return counts.unionByName(bad.withColumn("outcome", F.lit("reject records"))).unionByName(
+        kept.select(F.lit("").alias("source_file"), F.lit("stored").alias("outcome"), "rows"))
+
+
 @query
 def k5_analysis_rows(t: StandIn) -> DataFrame:
     grid = impact.uplift_grid(impact.default_surface(views.anchor_dates(t.projects, t.project_stages)))
     keyed = grid.withColumn("radius_m", F.lit(5000)).withColumn("distance", F.col("distance_m").cast("int"))
     return sinks.analysis_rows(
-        keyed, "a", "project", "project_id", ["radius_m", "distance", "months_after_anchor"], ["expected_uplift_pct"]).drop("result")
+        keyed, "a", "project", "project_id", ["radius_m", "distance", "months_after_anchor"], ["expected_uplift_pct"]).drop("result", "finished_at")
 
 
 @query

@@ -88,6 +88,22 @@ KEYS: dict[str, list[str]] = {
         "source_entity_type", "source_entity_id", "target_entity_type", "target_entity_id", "model_version"],
 }
 
+# Partitions of the stored tables, as SQL over key columns. Sales arrive by month but are keyed by a digest: its
+# first digits spread them evenly, and new sales are added without rewriting stored ones.
+PARTITIONS: dict[str, str] = {
+    "land_transactions": "substring(source_id, 1, 1)",
+    "traffic_volumes": "year(observed_at)",
+    "population_stats": "year(observed_at)",
+    "stores": "brand_id",
+    "buildings": "substring(pnu, 1, 5)",
+    "official_land_prices": "year",
+    "store_features": "year(snapshot_date)",
+    "candidate_lands": "evaluated_at",
+    "store_impact_analysis": "year(post_window_end)",
+    "analysis_results": "scenario",
+    "recommendations": "source_entity_type",
+}
+
 # Columns an upsert overwrites when the key exists; everything else keeps the stored value.
 UPDATABLE: dict[str, list[str]] = {
     "land_transactions": ["deal_amount_krw", "area_m2", "use_district", "raw_data"],
