@@ -83,6 +83,12 @@ VIEWS: dict[str, str] = {
         SELECT id AS project_id, lon + half * a AS x1, lat + half * b AS y1, lon + half * c AS x2, lat + half * d AS y2
         FROM projects, (VALUES (-1.0e0,-1.0e0,1.0e0,-1.0e0),(1.0e0,-1.0e0,1.0e0,1.0e0),
                                (1.0e0,1.0e0,-1.0e0,1.0e0),(-1.0e0,1.0e0,-1.0e0,-1.0e0)) v(a,b,c,d)""",
+    "split_edges": """
+        SELECT id AS project_id, lon + half * east + half * (a * size) AS x1, lat + half * (b * size) AS y1,
+               lon + half * east + half * (c * size) AS x2, lat + half * (d * size) AS y2
+        FROM projects, (VALUES (0e0, 1e0), (0e0, 0.5e0), (4e0, 0.25e0)) r(east, size),
+             (VALUES (-1.0e0,-1.0e0,1.0e0,-1.0e0),(1.0e0,-1.0e0,1.0e0,1.0e0),
+                     (1.0e0,1.0e0,-1.0e0,1.0e0),(-1.0e0,1.0e0,-1.0e0,-1.0e0)) v(a,b,c,d)""",
     "project_stages": f"""
         SELECT n AS project_id, stage, {months("DATE '1995-06-01'", 'n + m')} AS occurred_at, q AS sequence_no
         FROM nations, (VALUES ('announced',0,1),('designated',6,2),('compensation_started',18,3)) v(stage,m,q)
@@ -157,7 +163,7 @@ VIEWS: dict[str, str] = {
 }
 
 NEEDS: dict[str, list[str]] = {
-    "admin_areas": ["nations"], "projects": ["nations"], "project_edges": ["projects"], "project_stages": ["nations"],
+    "admin_areas": ["nations"], "projects": ["nations"], "project_edges": ["projects"], "split_edges": ["projects"], "project_stages": ["nations"],
     "anchors": ["projects", "project_stages"], "suppliers": ["nations"], "land_transactions": ["suppliers"],
     "road_segments": ["suppliers"], "road_edges": ["road_segments"], "population_stats": ["nations"],
     "parcels": ["nations"], "buildings": ["parcels"], "official_land_prices": ["parcels"], "stores": ["nations", "parcels"],

@@ -50,41 +50,6 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return round_even(F.lit(2.0 * EARTH_KM) * F.asin(F.sqrt(h)), 3)
 
 
-def _let(value: Column, body) -> Column:
-    """Bind an intermediate value once, so that nested uses do not repeat it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def edge_distances_m(lon: Column, lat: Column, edges: Column) -> Column:
-    """Distance from a point to each line piece ``struct(x1, y1, x2, y2)``.
-
-    Three short passes over the pieces instead of one deep expression: lambda
-    bodies are evaluated as written, without sharing of common parts.
-    """
-    kx, ky = _radii(lat)
-
-    def project(k: Column) -> Column:
-        def relative(e: Column) -> Column:
-            return F.struct(
-                e["x1"].alias("x1"), e["y1"].alias("y1"),
-                (e["x2"] - e["x1"]).alias("ux"), (e["y2"] - e["y1"]).alias("uy"),
-                ((e["x1"] - lon) * k["kx"]).alias("ax"), ((e["y1"] - lat) * k["ky"]).alias("ay"),
-                ((e["x2"] - e["x1"]) * k["kx"]).alias("bx"), ((e["y2"] - e["y1"]) * k["ky"]).alias("by"))
-
-        def foot(r: Column) -> Column:
-            t = F.coalesce(
-                -(r["ax"] * r["bx"] + r["ay"] * r["by"])
-                / F.nullif(r["bx"] * r["bx"] + r["by"] * r["by"], F.lit(0.0)), F.lit(0.0))
-            t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-            return _let(t, lambda v: F.struct(
-                (r["x1"] + v * r["ux"]).alias("x"), (r["y1"] + v * r["uy"]).alias("y")))
-
-        feet = F.transform(F.transform(edges, relative), foot)
-        return F.transform(feet, lambda q: distance_m(lon, lat, q["x"], q["y"]))
-
-    return _let(F.struct(kx.alias("kx"), ky.alias("ky")), project)
-
-
 def with_edge_distance(df: DataFrame, lon: str, lat: str, edge: str, metres: str, degrees: str | None = None) -> DataFrame:
     """Add the distance from a point to one line piece, optionally in plain
     degrees too (for callers that order by raw coordinates).
@@ -140,17 +105,12 @@ def straddles_east(lon: Column, lat: Column, e: Column) -> Column:
     return ((e["y1"] > lat) != (e["y2"] > lat)) & F.coalesce(lon < x_at, F.lit(False))
 
 
-def inside(lon: Column, lat: Column, ring_edges: Column) -> Column:
-    """Even-odd rule over the ring's edges."""
-
-    return F.size(F.filter(ring_edges, lambda e: straddles_east(lon, lat, e))) % 2 == 1
-
-
 def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
     return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
 
 
-def _cross(e: Column, g: Column) -> Column:
+def crosses(e: Column, g: Column) -> Column:
+    """Whether two line pieces cross, touching ends not counted."""
     d1 = _side(g["x1"], g["y1"], g["x2"], g["y2"], e["x1"], e["y1"])
     d2 = _side(g["x1"], g["y1"], g["x2"], g["y2"], e["x2"], e["y2"])
     d3 = _side(e["x1"], e["y1"], e["x2"], e["y2"], g["x1"], g["y1"])
@@ -158,26 +118,6 @@ def _cross(e: Column, g: Column) -> Column:
     return (d1 * d2 < 0) & (d3 * d4 < 0)
 
 
-def area_line_distance_m(ring_edges: Column, line_edges: Column) -> Column:
-    """Polygon to line: zero on crossing or containment, else the nearest of
-    both vertex-to-edge directions."""
-    crossing = F.exists(ring_edges, lambda e: F.exists(line_edges, lambda g: _cross(e, g)))
-    last = F.element_at(line_edges, -1)
-    holds = F.exists(line_edges, lambda g: inside(g["x1"], g["y1"], ring_edges)) | inside(
-        last["x2"], last["y2"], ring_edges
-    )
-
-    def to_edges(x: str, y: str, source: Column, target: Column) -> Column:
-        return F.array_min(F.transform(source, lambda s: F.array_min(edge_distances_m(s[x], s[y], target))))
-
-    nearest = F.least(
-        to_edges("x1", "y1", line_edges, ring_edges),
-        to_edges("x2", "y2", line_edges, ring_edges),
-        to_edges("x1", "y1", ring_edges, line_edges),
-    )
-    return F.when(crossing | holds, F.lit(0.0)).otherwise(nearest)
-
-
 def cell_size(radius_m: float, lat: float = REFERENCE_LAT) -> tuple[float, float]:
     """Degree width and height of a grid cell whose neighbours cover ``radius_m`` at ``lat``."""
     shortest = SEMI_MAJOR_M * math.cos(lat * RADIAN) * RADIAN

@@ -1,4 +1,4 @@
-"""Radius and nearest-neighbour joins as grid-cell equi-joins."""
+"""Radius and nearest-neighbour joins as grid-cell equi-joins; for shapes see ``covers``."""
 
 from __future__ import annotations
 
@@ -57,83 +57,6 @@ def _columns(west: Column, east: Column, reach: Column, size: tuple[float, float
     return tuple(F.floor(x / F.lit(size[0])).cast("int") for x in (west - reach, east + reach))
 
 
-def _shape_reach(vertices: str, radius_m: float, size: tuple[float, float]) -> Column:
-    return geo.lon_reach(F.array_max(F.transform(F.col(vertices)["lat"], F.abs)), radius_m, size)
-
-
-def _cover(df: DataFrame, vertices: str, radius_m: float, size: tuple[float, float]) -> DataFrame:
-    """One row per grid cell of the shape's bounding box and its buffer."""
-    lons = F.col(vertices)["lon"]
-    ys = F.transform(F.col(vertices), lambda v: F.floor(v["lat"] / F.lit(size[1])).cast("int"))
-    reach = _shape_reach(vertices, radius_m, size)
-    return (
-        df.withColumn("cx", _around(*_columns(F.array_min(lons), F.array_max(lons), reach, size)))
-        .withColumn("cy", _around(F.array_min(ys) - 1, F.array_max(ys) + 1)))
-
-
-def area_point_pairs(
-    areas: DataFrame, points: DataFrame, radius_m: float, point_id: str,
-    polygon: str = "polygon", hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """(area, point) pairs within ``radius_m`` of the polygon; inside gives 0.
-
-    Returns all area and point columns but the geometry, plus ``distance_m``. A
-    candidate pair is opened into one row per polygon edge, which keeps the
-    arithmetic in generated code; the rows of a pair sit in one task and are
-    folded there before the shuffle of the closing aggregate. Attributes ride
-    along as grouping columns, so that the aggregate stays a hash aggregate.
-    """
-    size = geo.cell_size(radius_m)
-    lons, lats = F.col(polygon)["lon"], F.col(polygon)["lat"]
-    reach = _shape_reach(polygon, radius_m, size)
-    covered = _cover(
-        areas.filter(F.col(polygon).isNotNull()).withColumn("edges", geo.edges_of(F.col(polygon), closed=True))
-        .withColumn("box", F.struct(
-            (F.array_min(lons) - reach).alias("w"), (F.array_max(lons) + reach).alias("e"),
-            (F.array_min(lats) - size[1]).alias("s"), (F.array_max(lats) + size[1]).alias("n"))),
-        polygon, radius_m, size).drop(polygon)
-    placed = with_cell(points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()), size)
-    near = F.col("lon").between(F.col("box.w"), F.col("box.e")) & F.col("lat").between(F.col("box.s"), F.col("box.n"))
-    met = salted_join(placed, covered, CELL, [point_id], hot_rows).filter(near)
-    opened = geo.with_edge_distance(met.withColumn("edge", F.explode("edges")).drop("edges", "box"), "lon", "lat", "edge", "d")
-    lon, lat, edge = F.col("lon"), F.col("lat"), F.col("edge")
-    keys = [c for c in (*areas.columns, *points.columns) if c not in (polygon, "lon", "lat")]
-    nearest = F.when(
-        F.sum(geo.straddles_east(lon, lat, edge).cast("int")) % 2 == 1, F.lit(0.0),
-    ).otherwise(F.min("d"))
-    return opened.groupBy(*keys).agg(nearest.alias("distance_m")).filter(F.col("distance_m") <= radius_m)
-
-
-def area_line_pairs(
-    areas: DataFrame, lines: DataFrame, radius_m: float, area_id: str, line_id: str,
-    polygon: str = "polygon", line: str = "line",
-) -> DataFrame:
-    """(area, line) pairs within ``radius_m``; crossing or containment gives 0.
-
-    Both shapes can meet in several cells; the pair is kept in the first cell
-    they share, so no distinct is needed afterwards.
-    """
-    size = geo.cell_size(radius_m)
-    covered = _cover(areas.filter(F.col(polygon).isNotNull()), polygon, radius_m, size)
-    xs = F.transform(F.col(line), lambda v: F.floor(v["lon"] / F.lit(size[0])).cast("int"))
-    ys = F.transform(F.col(line), lambda v: F.floor(v["lat"] / F.lit(size[1])).cast("int"))
-    spread = (
-        lines.filter(F.col(line).isNotNull())
-        .withColumn("lx", F.array_min(xs)).withColumn("ly", F.array_min(ys))
-        .withColumn("cx", _around(F.col("lx"), F.array_max(xs)))
-        .withColumn("cy", _around(F.col("ly"), F.array_max(ys))))
-    lons = F.col(polygon)["lon"]
-    west, _ = _columns(F.array_min(lons), F.array_max(lons), _shape_reach(polygon, radius_m, size), size)
-    ay = F.transform(F.col(polygon), lambda v: F.floor(v["lat"] / F.lit(size[1])).cast("int"))
-    first_shared = (
-        (F.col("cx") == F.greatest(west, F.col("lx")))
-        & (F.col("cy") == F.greatest(F.array_min(ay) - 1, F.col("ly"))))
-    distance = geo.area_line_distance_m(
-        geo.edges_of(F.col(polygon), closed=True), geo.edges_of(F.col(line), closed=False))
-    met = salted_join(spread, covered, CELL, [line_id]).filter(first_shared)
-    return _within(met, distance, radius_m).drop("lx", "ly", *CELL)
-
-
 # Nested square grids for nearest-neighbour search, in degrees: each level is
 # four times coarser. On the last but one, neighbours span any pair of valid
 # coordinates (0.005 * 4**8 = 327 degrees), so every point finds a line.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelspark.functions.numbers import clip, round_even, saturating
 from parcelspark.operators.skew import grouped_median
-from parcelspark.operators.spatial import area_line_pairs, area_point_pairs
+from parcelspark.operators.covers import area_line_pairs, area_point_pairs
 from parcelspark.plans.views import anchor_dates, project_nearby_sales
 from parcelspark.session import cut_lineage
 
@@ -20,6 +20,10 @@ HORIZONS_MONTHS = [-12, 0, 12, 24, 36, 60]
 ROUTE_WEIGHTS = [("고속", 1.0), ("국도", 0.8), ("지방도", 0.6), ("시도", 0.4)]
 OTHER_ROUTE_WEIGHT = 0.5
 MODEL_VERSION = "scenario_a_v1.0.0"
+SMALL_SET_NOTE = "Reference set too small (<2 projects) — using calibrated defaults."
+RMSE_NOTE = "Training RMSE: %.4f"
+# Own text, for types whose projects have too few samples for a fit.
+FEW_SAMPLES_NOTE = "Too few samples (<6) — using calibrated defaults."
 
 
 def impact_zone(projects: DataFrame, admin_areas: DataFrame, radius_m: float = 5000.0) -> DataFrame:
@@ -70,16 +74,41 @@ def uplift_samples(projects: DataFrame, stages: DataFrame, sales: DataFrame, win
             ((F.col("unit_price") - F.col("base")) / F.col("base")).alias("uplift_pct"), F.lit(1.0).alias("weight")))
 
 
-def _grid_sums(samples: DataFrame, keys: list[str], b: Column) -> DataFrame:
-    """Weighted sums per candidate decay; map-side aggregation keeps it to one
-    row per key and candidate before the shuffle."""
-    e = F.exp(-F.col("b") * F.col("distance_m") / F.lit(1000.0))
+# Sums that stand for the samples of a distance bin, exact to a term of order 5 in decay x half a bin width.
+BIN_M, TERMS = 5.0, 5
+
+
+def sufficient_sums(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Weighted moments of the samples of each key in bins of distance: all that the decay search needs.
+
+    A bin at c km holds Y_k = sum w^2 uplift (km - c)^k and W_k = sum w^2 (km - c)^k for k below TERMS. Samples are
+    read once and folded before the shuffle; the number of bins depends on the radius, not on the samples.
+    """
     w2 = F.pow(F.greatest("weight", F.lit(1e-3)), F.lit(2.0))
-    return (
-        samples.withColumn("b", b).withColumn("e", e).withColumn("w2", w2)
-        .groupBy(*keys, "b").agg(
-            F.sum(F.col("w2") * F.col("uplift_pct") * F.col("e")).alias("ye"),
-            F.sum(F.col("w2") * F.col("e") * F.col("e")).alias("ee")))
+    binned = samples.withColumn("_bin", F.floor(F.col("distance_m") / F.lit(BIN_M))).withColumn("_w2", w2)
+    offset = F.col("distance_m") / F.lit(1000.0) - (F.col("_bin") + F.lit(0.5)) * F.lit(BIN_M / 1000.0)
+    binned = binned.withColumn("_o", offset)
+    powers = [F.lit(1.0)]
+    for _ in range(TERMS - 1):
+        powers.append(powers[-1] * F.col("_o"))
+    return binned.groupBy(*keys, "_bin").agg(
+        *[F.sum(F.col("_w2") * F.col("uplift_pct") * p).alias(f"_y{k}") for k, p in enumerate(powers)],
+        *[F.sum(F.col("_w2") * p).alias(f"_w{k}") for k, p in enumerate(powers)])
+
+
+def _grid_sums(sums: DataFrame, keys: list[str], b: Column) -> DataFrame:
+    """Weighted sums ye and ee per candidate decay, from the moments of the bins."""
+    centre = (F.col("_bin") + F.lit(0.5)) * F.lit(BIN_M / 1000.0)
+
+    def series(name: str, rate: Column) -> Column:
+        """sum of (-rate)^k / k! times the k-th moment, from the innermost term outwards."""
+        total = F.col(f"{name}{TERMS - 1}")
+        for k in range(TERMS - 1, 0, -1):
+            total = F.col(f"{name}{k - 1}") - total * rate / F.lit(float(k))
+        return F.exp(-rate * centre) * total
+
+    return sums.withColumn("b", b).groupBy(*keys, "b").agg(
+        F.sum(series("_y", F.col("b"))).alias("ye"), F.sum(series("_w", F.col("b") * 2.0)).alias("ee"))
 
 
 def _best(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,16 +124,16 @@ def _steps(centre: Column, half: int, step: float) -> Column:
 def fit_decay(samples: DataFrame, key: str) -> DataFrame:
     """Per ``key``: a and b of ``uplift = a * exp(-b * km)`` by weighted least squares.
 
-    ``a`` is linear once ``b`` is given, so each pass sums over a grid of ``b``
-    and the next pass zooms in twentyfold; a parabola through the last three
-    values ends the search. Fewer than two projects or six samples keep the
+    ``a`` is linear once ``b`` is given, so each pass sums the moments of the distance
+    bins over a grid of ``b`` and the next pass zooms in twentyfold; a parabola through
+    the last three values ends the search. The samples themselves are read once. Fewer than two projects or six samples keep the
     default pair, fewer than four samples in months 0..24 too.
     """
     sizes = samples.groupBy(key).agg(
         F.count("*").alias("n_samples"),
         F.sum(F.col("months_since_anchor").between(0, 24).cast("int")).alias("n_mid"))
     projects = samples.select(key, "project_id").distinct().groupBy(key).agg(F.count("*").alias("n_projects"))
-    mid = samples.filter(F.col("months_since_anchor").between(0, 24)).select(key, "distance_m", "uplift_pct", "weight")
+    mid = cut_lineage(sufficient_sums(samples.filter(F.col("months_since_anchor").between(0, 24)), [key]))
     coarse = F.explode(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.lit(-2.0) + i.cast("double") * F.lit(0.2)))
     centre = _best(_grid_sums(mid, [key], coarse), [key])
     for step in (0.01, 0.0005):
@@ -205,12 +234,13 @@ def uplift_grid(
 def leave_one_out_error(samples: DataFrame) -> DataFrame:
     """Hold-out error per project of the decay fitted on all other projects.
 
-    Sums over the candidate grid are additive, so every fold is total minus
-    own; the samples are read once and never copied per fold.
+    Moments of the distance bins are additive, so every fold's sums are total minus
+    own; the samples are read for the moments and for the error, never copied per fold or decay.
     """
     mid = cut_lineage(samples.filter(F.col("months_since_anchor").between(0, 24)))
+    moments = cut_lineage(sufficient_sums(mid, ["project_id"]))
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(240)), lambda i: F.lit(-2.0) + i.cast("double") * F.lit(0.05)))
-    own = _grid_sums(mid, ["project_id"], grid)
+    own = _grid_sums(moments, ["project_id"], grid)
     total = own.groupBy("b").agg(F.sum("ye").alias("tye"), F.sum("ee").alias("tee"))
     rest = own.join(total, "b").select(
         "project_id", "b", (F.col("tye") - F.col("ye")).alias("ye"), (F.col("tee") - F.col("ee")).alias("ee"))
@@ -237,9 +267,8 @@ def impact_report(projects: DataFrame, stages: DataFrame, sales: DataFrame, admi
         F.coalesce("a", F.lit(DEFAULT_A)).alias("a"), F.coalesce("b", F.lit(DEFAULT_B)).alias("b"),
         *[F.coalesce(f"m{i}", F.lit(v)).alias(f"m{i}") for i, v in enumerate(DEFAULT_MULTIPLIERS)],
         F.coalesce("confidence", F.lit(0.40)).alias("confidence"),
-        F.when(F.coalesce("n_projects", F.lit(0)) < 2,
-               "Reference set too small (<2 projects) — using calibrated defaults.")
-        .otherwise(F.format_string("Training RMSE: %.4f", round_even("rmse", 4))).alias("note"))
+        F.when(F.coalesce("n_projects", F.lit(0)) < 2, SMALL_SET_NOTE).when(F.col("rmse").isNull(), FEW_SAMPLES_NOTE)
+        .otherwise(F.format_string(RMSE_NOTE, round_even("rmse", 4))).alias("note"))
     zone = impact_zone(projects, admin_areas).groupBy("project_id").agg(
         F.count("*").alias("zone_areas"), F.min("distance_m").alias("zone_nearest_m"))
     road = road_impact(projects, roads).groupBy("project_id").agg(

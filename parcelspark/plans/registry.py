@@ -147,6 +147,22 @@ def j3_p7_road_impact(t: StandIn) -> DataFrame:
     return rounded(scored.withColumn("length_m", F.col("length_m").cast("double")), 3, "distance_m")
 
 
+@query
+def j1_split_project_sales(t: StandIn) -> DataFrame:
+    """Sales near projects of several parts and with holes."""
+    return rounded(views.project_nearby_sales(t.split_projects, t.land_transactions), 3, "distance_m").select("project_id", "source_id", "distance_m")
+
+
+@query
+def j2_split_project_zone(t: StandIn) -> DataFrame:
+    return rounded(impact.impact_zone(t.split_projects, t.admin_areas), 3, "distance_m").drop("admin_name")
+
+
+@query
+def j3_split_project_roads(t: StandIn) -> DataFrame:
+    return rounded(impact.road_impact(t.split_projects, t.road_segments), 3, "distance_m").select("project_id", "road_id", "distance_m", "weight")
+
+
 @query
 def w9_uplift_samples(t: StandIn) -> DataFrame:
     s = impact.uplift_samples(t.projects, t.project_stages, t.land_transactions)

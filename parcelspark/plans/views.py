@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelspark.functions.numbers import percent_change, round_up
-from parcelspark.operators.spatial import area_point_pairs
+from parcelspark.operators.covers import area_point_pairs
 
 
 def optional_filters(

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 POINT = [("lon", T.DoubleType()), ("lat", T.DoubleType())]
 VERTICES = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in POINT]))
+RINGS = T.ArrayType(VERTICES)  # outer rings and holes of all parts of a shape
 S, L, I, D, B = T.StringType(), T.LongType(), T.IntegerType(), T.DateType(), T.DoubleType()
 _MAP = T.MapType(S, B)
 
@@ -17,7 +18,7 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
 SCHEMAS: dict[str, T.StructType] = {
     "admin_areas": _schema(("code", S), ("name", S), ("level", S), ("parent_code", S), *POINT),
     "projects": _schema(
-        ("id", L), ("name", S), ("project_type", S), ("region_code", S), ("polygon", VERTICES), *POINT,
+        ("id", L), ("name", S), ("project_type", S), ("region_code", S), ("polygon", RINGS), *POINT,
         ("area_ha", T.DecimalType(10, 2)), ("expected_compensation_billion_krw", T.DecimalType(12, 2)),
         ("planned_announcement_date", D), ("planned_completion_date", D)),
     "project_stages": _schema(("project_id", L), ("stage", S), ("occurred_at", D), ("sequence_no", I)),

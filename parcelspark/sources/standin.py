@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 AS_OF = dt.date(2001, 6, 30)
 PROJECT_TYPES = ["public_housing", "urban_development", "industrial_complex", "logistics", "new_town", "other"]
 ROUTES = ["고속도로", "국도", "지방도", "시도"]
+#: Rings of a split project: shift of the middle to the east and size, both in half sides. The second is a hole.
+RINGS = [(0.0, 1.0), (0.0, 0.5), (4.0, 0.25)]
 BRAND_CATEGORIES = ["cafe", "fastfood", "bakery", "convenience", "other"]
 
 
@@ -85,12 +87,26 @@ class StandIn:
         return self._nations.withColumn("lon", lon).withColumn("lat", lat).select(
             n.alias("id"), F.concat(F.lit("Project "), "n_name").alias("name"),
             F.element_at(F.array(*map(F.lit, PROJECT_TYPES)), (n % 6 + 1).cast("int")).alias("project_type"),
-            F.col("sigungu").alias("region_code"), ring.alias("polygon"), "lon", "lat",
+            F.col("sigungu").alias("region_code"), F.array(ring).alias("polygon"), "lon", "lat",
             ((n % 5 + 8) * 40).cast("decimal(10,2)").alias("area_ha"),
             ((n + 1) * 10).cast("decimal(12,2)").alias("expected_compensation_billion_krw"),
             announced.alias("planned_announcement_date"),
             F.add_months(announced, 72).alias("planned_completion_date"))
 
+    @cached_property
+    def split_projects(self) -> DataFrame:
+        """The projects as shapes of two parts, the larger one with a hole: three rings each."""
+        n = F.col("n")
+        half = F.lit(0.008) + F.lit(0.001) * (n % 5).cast("double")
+        corners = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]
+
+        def ring(east: float, scale: float) -> Column:
+            middle = F.col("lon") + half * east
+            return F.array(*[F.struct((middle + half * (sx * scale)).alias("lon"), (F.col("lat") + half * (sy * scale)).alias("lat")) for sx, sy in corners])
+
+        shapes = self.projects.withColumn("n", F.col("id")).withColumn("polygon", F.array(*[ring(*r) for r in RINGS]))
+        return shapes.drop("n")
+
     @cached_property
     def project_stages(self) -> DataFrame:
         steps = [("announced", 0, 1), ("designated", 6, 2), ("compensation_started", 18, 3)]

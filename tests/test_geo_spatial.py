@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geo
-from parcelspark.operators.spatial import area_line_pairs, area_point_pairs, nearest_line, point_pairs
+from parcelspark.operators.covers import area_line_pairs, area_point_pairs, cover
+from parcelspark.operators.spatial import nearest_line, point_pairs
 from parcelspark.operators.skew import grouped_median, salted_join
 
 
@@ -132,3 +133,87 @@ def test_grouped_median_equals_builtin(spark):
     got = {x.g: x.median for x in grouped_median(df, ["g"], "v").collect()}
     want = {x.g: x.m for x in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+RING, RINGS = "array<struct<lon:double,lat:double>>", "array<array<struct<lon:double,lat:double>>>"
+
+
+def wobbly(lon, lat, size, n, seed):
+    """A ring of n points around a middle."""
+    r = random.Random(seed)
+    return [(lon + size * f * math.cos(2 * math.pi * i / n), lat + size * f * math.sin(2 * math.pi * i / n)) for i in range(n) for f in [r.uniform(0.5, 1.0)]]
+
+
+def pieces_of(ring):
+    return list(zip(ring, ring[1:] + ring[:1]))
+
+
+def to_piece(x, y, a, b):
+    k = math.cos(math.radians(y))
+    bx, by = (b[0] - a[0]) * k, b[1] - a[1]
+    t = max(0.0, min(1.0, ((x - a[0]) * k * bx + (y - a[1]) * by) / ((bx * bx + by * by) or 1.0)))
+    return metres(x, y, a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+
+
+def to_shape(x, y, rings):
+    pieces = [p for ring in rings for p in pieces_of(ring)]
+    odd = sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in pieces) % 2
+    return 0.0 if odd else min(to_piece(x, y, a, b) for a, b in pieces)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rings_and_holes_against_every_edge(spark, seed):
+    shapes = {1: [wobbly(126.9, 37.5, 0.05, 90, seed), wobbly(126.9, 37.5, 0.02, 25, seed + 9), wobbly(127.03, 37.52, 0.01, 5, seed)],
+              2: [ring(126.95, 37.45, 0.03), ring(126.95, 37.45, 0.015), ring(126.95, 37.45, 0.005)],
+              3: [[(126.85, 37.44)]], 4: [[(126.8, 37.4), (127.0, 37.6)]]}
+    areas = spark.createDataFrame(list(shapes.items()) + [(8, []), (9, None), (10, [[]])], f"a long, polygon {RINGS}").withColumn("corner", F.lit("x"))
+    spots = scatter(700, seed, (126.78, 127.1), (37.38, 37.62)) + [(5000 + i, x, y) for i, (x, y) in enumerate(p for r in shapes[2] for p in r)]
+    points = spark.createDataFrame(spots, "p long, lon double, lat double")
+    got = {(r.a, r.p): r.distance_m for r in area_point_pairs(areas, points, 2000.0, "p").collect()}
+    want = {(a, i): d for a, rings in shapes.items() for i, x, y in spots if (d := to_shape(x, y, rings)) <= 2000.0}
+    on_border = {k for k in got.keys() | want.keys() if abs(max(got.get(k, 0), want.get(k, 0)) - 2000) < 0.01}
+    assert got.keys() - on_border == want.keys() - on_border
+    assert all(got[k] == pytest.approx(want[k], abs=0.05) for k in want.keys() - on_border)
+    assert {k for k, d in got.items() if d == 0} == {k for k, d in want.items() if d < 1e-9}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_and_rings_against_every_edge(spark, seed):
+    shapes = {1: [wobbly(126.9, 37.5, 0.05, 60, seed), wobbly(126.9, 37.5, 0.02, 15, seed + 9)], 2: [ring(127.02, 37.45, 0.01)]}
+    r = random.Random(seed)
+    tracks = {i: [(x, y), (x + r.uniform(-0.03, 0.03), y + r.uniform(-0.03, 0.03)), (x + 0.04, y + r.uniform(-0.05, 0.05))] for i, x, y in scatter(120, seed, (126.8, 127.05), (37.4, 37.6))}
+    tracks[500] = [(126.905, 37.5), (126.91, 37.503)]  # in the hole
+    areas = spark.createDataFrame(list(shapes.items()), f"a long, polygon {RINGS}")
+    lines = spark.createDataFrame(list(tracks.items()) + [(900, []), (901, None)], f"l long, line {RING}")
+    got = {(x.a, x.l): x.distance_m for x in area_line_pairs(areas, lines, 1500.0, "a", "l").collect()}
+
+    def turn(a, b, p):
+        return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+    def apart(rings, track):
+        best = min(to_shape(x, y, rings) for x, y in track)
+        for a, b in (p for one in rings for p in pieces_of(one)):
+            for c, d in zip(track, track[1:]):
+                if turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0:
+                    return 0.0
+                best = min(best, to_piece(*a, c, d))
+        return best
+
+    want = {(a, i): d for a, rings in shapes.items() for i, track in tracks.items() if (d := apart(rings, track)) <= 1500.0}
+    on_border = {k for k in got.keys() | want.keys() if abs(max(got.get(k, 0), want.get(k, 0)) - 1500) < 0.01}
+    assert got.keys() - on_border == want.keys() - on_border
+    assert all(got[k] == pytest.approx(want[k], abs=0.05) for k in want.keys() - on_border)
+    assert 0 < sum(d == 0 for d in got.values()) < len(got) and got.get((1, 500), 1e9) > 0
+
+
+def test_edges_tested_do_not_grow_with_the_ring(spark):
+    """A cell lists the edges near to it, whatever the number of edges of the ring."""
+    longest = {}
+    for n in (200, 3200):  # the same coast line, sixteen times as long
+        row = [(126.0 + 0.01 * i, 37.0 + 0.003 * (i % 2)) for i in range(n // 2)]
+        shape = row + [(x, y - 0.2) for x, y in reversed(row)]
+        areas = spark.createDataFrame([(1, [shape])], f"a long, polygon {RINGS}")
+        cells = cover(areas, "a", "polygon", 5000.0)
+        longest[n] = cells.agg(F.max(F.size("_edges"))).first()[0]
+        assert {r._kind for r in cells.select("_kind").distinct().collect()} == {"inside", "crossed", "outside"}
+    assert longest[3200] <= longest[200] + 1
