@@ -186,19 +186,25 @@ def area_line_pairs(
     shapes = areas.filter(F.col(polygon).isNotNull())
     cells = cover(shapes, area_id, polygon, radius_m)
     drawn = lines.filter(F.size(line) > 0).select(line_id, F.filter(line, lambda v: v["lon"].isNotNull() & v["lat"].isNotNull()).alias("_line"))
-    dots = drawn.select(line_id, F.explode("_line").alias("v")).select(line_id, F.col("v.lon").alias("lon"), F.col("v.lat").alias("lat"))
-    dots = dots.withColumn("cx", column_of(F.col("lon"), size)).withColumn("cy", row_of(F.col("lat"), size))
-    at_dots = salted_join(dots, cells, CELL, [line_id, "lon", "lat"])
-    from_dots = _distances(at_dots, [area_id, line_id, "lon", "lat"], size).select(area_id, line_id, F.col("distance_m").alias("d"))
-    g = F.col("g")
-    pieces = drawn.select(line_id, F.explode(geo.edges_of(F.col("_line"), closed=False)).alias("g"))
-    pieces = pieces.withColumn("cx", _span(column_of(F.least(g["x1"], g["x2"]), size), column_of(F.greatest(g["x1"], g["x2"]), size))).withColumn(
+    # a point of the line is a piece without length: both kinds meet the cells in one join
+    dot = lambda v: F.struct(v["lon"].alias("x1"), v["lat"].alias("y1"), v["lon"].alias("x2"), v["lat"].alias("y2"))
+    kinds = F.array(F.struct(F.lit(True).alias("dot"), F.transform("_line", dot).alias("gs")), F.struct(F.lit(False).alias("dot"), geo.edges_of(F.col("_line"), closed=False).alias("gs")))
+    visits = drawn.select(line_id, F.explode(kinds).alias("_kinds")).select(line_id, F.col("_kinds.dot").alias("_dot"), F.explode("_kinds.gs").alias("g"))
+    g, e = F.col("g"), F.col("e")
+    visits = visits.withColumn("cx", _span(column_of(F.least(g["x1"], g["x2"]), size), column_of(F.greatest(g["x1"], g["x2"]), size))).withColumn(
         "cy", _span(row_of(F.least(g["y1"], g["y2"]), size), row_of(F.greatest(g["y1"], g["y2"]), size)))
-    beside = salted_join(pieces, cells.filter("_kind <> 'inside'").select(area_id, *CELL, "_edges"), CELL, [line_id, "g"])
-    beside = beside.select(area_id, line_id, "g", F.explode("_edges").alias("e"))
-    ends = F.array(*[F.struct(F.col(f"e.x{i}").alias("x"), F.col(f"e.y{i}").alias("y")) for i in (1, 2)])
-    beside = beside.withColumn("_v", F.explode(ends)).withColumn("_x", F.col("_v.x")).withColumn("_y", F.col("_v.y"))
-    measured = geo.with_edge_distance(beside, "_x", "_y", "g", "d")
-    from_pieces = measured.select(area_id, line_id, F.when(geo.crosses(F.col("e"), g), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
-    nearest = from_dots.unionByName(from_pieces).filter(F.col("d") <= radius_m).groupBy(area_id, line_id).agg(F.min("d").alias("distance_m"))
+    met = salted_join(visits, cells, CELL, [line_id, "g"]).filter(F.col("_dot") | (F.col("_kind") != "inside"))
+    met = met.withColumn("e", F.explode_outer("_edges")).drop("_edges")
+    # a dot is measured to the edge, the ends of the edge to a piece
+    task = lambda x, y, piece: F.struct(x.alias("x"), y.alias("y"), piece.alias("piece"))
+    tasks = F.when(F.col("_dot"), F.array(task(g["x1"], g["y1"], e))).otherwise(F.array(task(e["x1"], e["y1"], g), task(e["x2"], e["y2"], g)))
+    opened = met.withColumn("_task", F.explode(tasks)).withColumn("_x", F.col("_task.x")).withColumn("_y", F.col("_task.y")).withColumn("_p", F.col("_task.piece"))
+    opened = opened.withColumn("_east", line_at(F.col("cx") + 1, 0, size)).withColumn("_south", line_at(F.col("cy"), 1, size))
+    side = _other_side(F.col("_x"), F.col("_y"), F.col("_east"), F.col("_south"), e).cast("int")
+    measured = geo.with_edge_distance(opened, "_x", "_y", "_p", "_d").withColumn("_flag", F.when(F.col("_dot") & (F.col("_kind") == "crossed"), side).otherwise(F.lit(0)))
+    measured = measured.withColumn("_d", F.when(~F.col("_dot") & geo.crosses(e, g), F.lit(0.0)).otherwise(F.col("_d")))
+    folded = measured.groupBy(area_id, line_id, "_dot", F.when(F.col("_dot"), g).alias("g")).agg(
+        F.min("_d").alias("_d"), (F.sum("_flag") % 2 == 1).alias("_odd"), F.max("_kind").alias("_kind"), F.max("_corner").alias("_corner"))
+    inside = F.col("_dot") & F.when(F.col("_kind") == "crossed", F.col("_odd") != F.col("_corner")).otherwise(F.col("_kind") == "inside")
+    nearest = folded.groupBy(area_id, line_id).agg(F.min(F.when(inside, F.lit(0.0)).otherwise(F.col("_d"))).alias("distance_m")).filter(F.col("distance_m") <= radius_m)
     return nearest.join(shapes, area_id).join(lines, line_id).select(*[c for c in lines.columns], *[c for c in areas.columns], "distance_m")
