@@ -12,6 +12,7 @@ from parcelspark.functions.numbers import change, percent_change, round_even
 from parcelspark.operators import timeseries as ts
 from parcelspark.operators.skew import grouped_median, top_rows
 from parcelspark.operators.nearest import topk_cosine
+from parcelspark.operators.ranking import rank_auc
 from parcelspark.plans import features, forecast, halo, impact, rationale, roads, similar, siting, views
 from parcelspark.operators import sinks
 from parcelspark.operators.snapshots import SnapshotTable
@@ -533,6 +534,17 @@ def r5_factor_chart(t: StandIn) -> DataFrame:
     return views.factor_chart(factors, "road_id", 3).select("road_id", "factor", "bar", "bar_no")
 
 
+@query
+def m6_g17_linear_auc(t: StandIn) -> DataFrame:
+    """AUC of a fixed linear score of lot sizes for both store kinds, per fold and over all, with the release verdict."""
+    score = F.round(F.col("building_area_m2") / 100) - F.round(F.col("land_area_m2") / 200)
+    rows = t.stores.select(F.explode(F.array(F.lit("DT"), F.lit("DI"))).alias("target"), (F.col("id") % 5).cast("int").alias("fold"), "store_type", score.alias("score"))
+    rows = rows.withColumn("label", (F.col("store_type") == F.col("target")).cast("int"))
+    folds = rank_auc(rows, ["target", "fold"])
+    whole = rank_auc(rows, ["target"]).withColumn("fold", F.lit(-1))
+    return rounded(folds.unionByName(whole), 9, "auc").withColumn("passed", F.col("auc") >= siting.MIN_AUC)
+
+
 @query
 def m6_g17_cross_validation(t: StandIn) -> DataFrame:
     """Held-out AUC per fold and the release verdict, for drive-thru stores."""
