@@ -531,7 +531,7 @@ def r4_rationale_groups(t: StandIn) -> DataFrame:
 def r5_factor_chart(t: StandIn) -> DataFrame:
     factors = roads.top_factors(roads.road_report(_aligned(t)), 4).select(
         "road_id", F.col("factor_rank").alias("position"), "factor", "value", F.lit(None).cast("double").alias("contribution"))
-    return views.factor_chart(factors, "road_id", 3).select("road_id", "factor", "bar", "bar_no")
+    return views.factor_chart(factors, "road_id").select("road_id", "factor", "bar", "bar_no")
 
 
 @query
