@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -156,6 +157,7 @@ def features(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> np.ndarra
             first[up] = first[k]
     rows = np.zeros((n, N_FEATURES), np.float32)
     g, t = len(LEXICON), len(TAGS)
+    tags_below = [Counter(nodes[c].tag for c in node.children) for node in nodes]
     for k, node in enumerate(nodes):
         row = rows[k]
         for bit in range(g):
@@ -169,7 +171,7 @@ def features(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> np.ndarra
         chars, linked, words, stops, count = sums[k]
         up = max(node.parent, 0)
         beside = nodes[up].children
-        like = sum(nodes[c].tag == node.tag for c in beside) if len(beside) < 200 else len(beside)
+        like = tags_below[up][node.tag]
         row[2 * g + t + SEMANTIC :] = (
             np.log1p(chars), np.log1p(own[k, 0]), linked / max(chars, 1), stops / max(words, 1), words / max(count, 1), np.log1p(count), len(node.children), node.depth,
             node.index, len(beside), like, chars / max(sums[up, 0], 1), chars / max(done, 1), max(first[k], 0) / max(done, 1), sums[up, 1] / max(sums[up, 0], 1),

@@ -9,12 +9,12 @@ on a part of the sample that the fit has not seen. Prediction is one pass of arr
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,8 @@ ORDERS = (1, 2, 3)
 BITS = 14
 #: Rows that the regression is fitted to, at most about; a bound of the method.
 SAMPLE_ROWS = 6000
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter by Unicode; number signs such as one half or a Roman eight are none.
+LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 
@@ -115,13 +116,13 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Model from the rows whose text and label are not null. No such rows: a model without languages.
 
-    Document frequencies cover all rows; the regression sees those rows whose id hash
+    Document frequencies cover all rows; the regression sees those rows whose hash of id and text
     falls in the share that makes about ``sample_rows`` of them.
     """
     rows = docs.select(docs[id_column].cast("string").alias("id"), docs[text_column].alias("text"), docs[label_column].alias("label")).dropna(subset=["text", "label"])
     total = rows.count()
     share = min(1.0, sample_rows / max(total, 1))
-    rows = rows.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)))
     limit = int(share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

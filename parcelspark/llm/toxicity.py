@@ -1,7 +1,7 @@
 """Toxicity: logistic regression on words with a counterfactual penalty.
 
-The labelled sample is extended by counterfactual copies in which every identity term
-is swapped for another of its group. The fit adds to the log loss the squared
+The labelled sample is extended by counterfactual copies in which every identity term, matched as a whole word,
+is swapped for each other of its group, and by copies into which a term is put. The fit adds to the log loss the squared
 change of the score between a text and its copy, so that naming a group does not
 move the score, and an L1 penalty that leaves few words with a weight.
 """
@@ -22,28 +22,40 @@ from parcelspark.llm.textblocks import slices, words_of
 BITS = 18
 #: Labelled rows that the classifier is fitted to, at most about; a bound of the method.
 SAMPLE_ROWS = 6000
-#: Identity terms by group; a term is swapped for the next of its group.
+#: Copies of labelled sentences into which each known identity term is put.
+INSERTIONS = 200
+#: Identity terms of four languages by group; a term is swapped for the others of its group.
 IDENTITY = [
     ["women", "men"], ["woman", "man"], ["girls", "boys"], ["girl", "boy"], ["female", "male"], ["she", "he"], ["her", "his"],
     ["muslims", "christians", "jews", "hindus", "buddhists", "atheists"], ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist"],
     ["black", "white", "asian", "latino", "arab"], ["gay", "straight", "lesbian", "bisexual"], ["transgender", "cisgender"],
     ["africans", "europeans", "asians", "americans"], ["african", "european", "american"], ["mexican", "chinese", "indian", "german", "french"],
     ["immigrants", "natives"], ["immigrant", "native"], ["disabled", "deaf", "blind"], ["elderly", "young", "old"],
+    ["frauen", "männer"], ["frau", "mann"], ["mädchen", "jungen"], ["muslime", "christen", "juden", "hindus"], ["türken", "polen", "deutsche", "franzosen"], ["einwanderer", "einheimische"],
+    ["femmes", "hommes"], ["femme", "homme"], ["filles", "garçons"], ["musulmans", "chrétiens", "juifs", "hindous"], ["africains", "européens", "asiatiques"], ["immigrés", "autochtones"],
+    ["mujeres", "hombres"], ["mujer", "hombre"], ["chicas", "chicos"], ["musulmanes", "cristianos", "judíos", "hindúes"], ["africanos", "europeos", "asiáticos"], ["inmigrantes", "nativos"],
 ]
-SWAP = {term: group[(k + 1) % len(group)] for group in IDENTITY for k, term in enumerate(group)}
+GROUP_OF = {term: group for group in IDENTITY for term in group}
 MARKS = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
+#: Place of each identity term, beyond the hashed ones.
+TERM_PLACE = {term: (1 << BITS) + k for k, term in enumerate(GROUP_OF)}
 #: Lengths, in characters, of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
 
 
 def features(word: bytes) -> tuple[int, ...]:
-    """Hashed places of a word without the marks around it, and of its beginnings; none if nothing is left."""
+    """Hashed places of a word without the marks around it, and of its beginnings; none if nothing is left.
+
+    A whole identity term has one place of its own beyond the hashed ones and no beginnings, so no other word shares its weight.
+    """
     word = word.strip(MARKS)
     if not word:
         return ()
     text = word.decode("utf-8", "replace")
+    if text in TERM_PLACE:
+        return (TERM_PLACE[text],)
     parts = [word, *(b"^" + text[:n].encode() for n in PREFIXES if len(text) > n)]
     return tuple(zlib.crc32(part) & (1 << BITS) - 1 for part in parts)
 
@@ -60,9 +72,13 @@ class ToxicityModel:
     bias: float
 
 
-def _swaps() -> dict[int, int]:
-    """Features of every identity term, each with the like feature of its stand-in."""
-    return {f: g for a, b in SWAP.items() for f, g in zip(features(a.encode()), features(b.encode()))}
+def _swaps() -> dict[int, list[int]]:
+    """Place of every identity term, with those of the others of its group, beginning with the next."""
+    out = {}
+    for term, group in GROUP_OF.items():
+        at = group.index(term)
+        out[TERM_PLACE[term]] = [TERM_PLACE[other] for other in group[at + 1 :] + group[:at]]
+    return out
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, l1: float = 4e-4, least: float = 0.25) -> ToxicityModel:
@@ -98,28 +114,39 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, l1: float, fairness: float
     # differences between texts and counterfactual copies: +1 on the term, -1 on its stand-in
     number = {f: i for i, f in enumerate(used.tolist())}
     d_owner, d_place, d_sign = [], [], []
-    for n, (_, changed) in enumerate(pairs):
-        for f in changed:
-            for g, sign in ((f, 1.0), (swap[f], -1.0)):
-                if g in number:
-                    d_owner.append(n)
-                    d_place.append(number[g])
-                    d_sign.append(sign)
-    d_owner, d_place, d_sign = np.array(d_owner, np.int64), np.array(d_place, np.int64), np.array(d_sign)
+    copies = 0
+    for _, changed in pairs:
+        for k in range(max(len(swap[f]) for f in changed)):
+            for f in changed:
+                for g, sign in ((f, 1.0), (swap[f][k % len(swap[f])], -1.0)):
+                    if g in number:
+                        d_owner.append(copies)
+                        d_place.append(number[g])
+                        d_sign.append(sign)
+            copies += 1
+    # INSERTIONS copies that differ by the term alone have the gradient of one of this size
+    for f in swap:
+        if f in number:
+            d_owner.append(copies)
+            d_place.append(number[f])
+            d_sign.append(INSERTIONS**0.5)
+            copies += 1
+    d_owner, d_place, d_sign = np.array(d_owner, np.int64), np.array(d_place, np.int64), np.array(d_sign, np.float64)
     m, size = len(rows), len(used)
     w, b, v, vb, t = np.zeros(size), empty.bias, np.zeros(size), empty.bias, 1.0
     per_row = np.bincount(owner, minlength=m)
     # an upper bound of the curvature: rows x columns sums of the bipartite graph
     bound = 0.25 * float(np.bincount(place, weights=per_row[owner] + 1.0, minlength=size).max()) / m + 0.25
-    if len(pairs):
-        bound += 2 * fairness * float(np.bincount(d_place, weights=np.bincount(d_owner)[d_owner], minlength=size).max()) / m
+    if copies:
+        length = np.bincount(d_owner, weights=np.abs(d_sign))
+        bound += 2 * fairness * float(np.bincount(d_place, weights=np.abs(d_sign) * length[d_owner], minlength=size).max()) / m
     step = 1 / bound
     for _ in range(steps):
         margin = np.bincount(owner, weights=v[place], minlength=m) + vb
         error = (1 / (1 + np.exp(-margin)) - labels) / m
         grad = np.bincount(place, weights=error[owner], minlength=size)
-        if len(pairs):
-            change = np.bincount(d_owner, weights=v[d_place] * d_sign, minlength=len(pairs))
+        if copies:
+            change = np.bincount(d_owner, weights=v[d_place] * d_sign, minlength=copies)
             grad += 2 * fairness / m * np.bincount(d_place, weights=change[d_owner] * d_sign, minlength=size)
         moved = v - step * grad
         new = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
@@ -176,7 +203,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_column: str = "text") -> D
     """
     docs = docs.drop("score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS weights, and one per identity term
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
