@@ -9,7 +9,7 @@ MAX_HOT_KEYS = 10_000
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS
+    big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS, counts: DataFrame | None = None
 ) -> DataFrame:
     """Inner equi-join that spreads keys with more than ``hot_rows`` big-side rows.
 
@@ -17,12 +17,15 @@ def salted_join(
     rows of one key apart), and only the small side's rows of those keys are
     repeated per part; cold keys pay nothing and the big side is shuffled once.
     The salt is a pure function of the row, so a recomputed task places it the
-    same way. Only the ``MAX_HOT_KEYS`` largest keys are salted, which bounds the
-    broadcast; any key left out is smaller than all of those.
+    same way. A key is hot above ``hot_rows`` rows or a ``MAX_HOT_KEYS``-th of all
+    rows, whichever is more: so there are fewer hot keys than that, which bounds
+    the broadcast, and every one of them is salted. ``counts`` are the big side's
+    rows per key as column ``_n``, where the caller has them.
     """
+    counts = counts if counts is not None else big.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
     hot = (
-        big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-        .orderBy(F.col("_n").desc(), *keys).limit(MAX_HOT_KEYS)
+        counts.filter((F.col("_n") > hot_rows) & (F.col("_n") * MAX_HOT_KEYS > total))
         .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))

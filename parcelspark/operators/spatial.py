@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelspark.functions import geo
 from parcelspark.operators.skew import HOT_ROWS, salted_join
+from parcelspark.session import cut_lineage
 
 CELL = ["cx", "cy"]
 
@@ -28,28 +29,84 @@ def _around(low: Column, high: Column) -> Column:
     return F.explode(F.sequence(low, high))
 
 
+# Root cells are 2**DEPTH times as wide as the finest ones, whose neighbours cover the radius.
+DEPTH = 3
+# Candidate pairs up to which a cell stays whole.
+DENSE_PAIRS = 100_000
+
+
 def point_pairs(
     queries: DataFrame, points: DataFrame, radius_m: float, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """All (query, point) pairs within ``radius_m`` with ``distance_m``.
 
     ``queries`` carries q_lon/q_lat and ``points`` lon/lat; other column names
-    must differ. Points stay in their own cell and each query visits nine (more
-    in a row at high latitudes), so a pair meets once. Crowded cells are salted.
+    must differ. Rows without coordinates are in no pair.
+    """
+    placed, visits = routed_sides(queries, points, radius_m, hot_rows)
+    # The box test is cheap and drops most candidates before any trigonometry.
+    near = (F.abs(F.col("lon") - F.col("q_lon")) <= F.col("_reach")) & (
+        F.abs(F.col("lat") - F.col("q_lat")) <= geo.cell_size(radius_m)[1])
+    met = placed.join(visits, PIECE).filter(near)
+    distance = geo.distance_m(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat"))
+    return _within(met, distance, radius_m).drop("_reach", *PIECE)
+
+
+LEAF = ["_level", "_x", "_y"]
+PIECE = [*LEAF, "_point_part", "_query_part"]
+
+
+def routed_sides(queries: DataFrame, points: DataFrame, radius_m: float, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Points and queries with the piece (``PIECE``) of an adaptive quadtree in which they meet.
+
+    Rows of both sides are counted per finest cell, and queries with the same window of cells are counted as one.
+    From root cells down, a cell is split while its candidate pairs exceed ``DENSE_PAIRS`` or a side ``hot_rows``.
+    A query goes only to those leaves that hold points in its window, most often one or two; a point goes to its leaf,
+    or nowhere if no query asks for it. A leaf that is as small as the radius and still holds more than ``hot_rows`` of
+    a side is cut into hashed parts of that side, each of which meets all parts of the other. All but the last step works on
+    tables of cells.
     """
     size = geo.cell_size(radius_m)
     cy = F.floor(F.col("q_lat") / F.lit(size[1])).cast("int")
-    visits = (
+    asked = (
         queries.filter(F.col("q_lon").isNotNull() & F.col("q_lat").isNotNull())
-        .withColumn("_reach", geo.lon_reach(F.abs("q_lat"), radius_m, size))
-        .withColumn("cx", _around(*_columns(F.col("q_lon"), F.col("q_lon"), F.col("_reach"), size)))
-        .withColumn("cy", _around(cy - 1, cy + 1)))
+        .withColumn("_reach", geo.lon_reach(F.abs("q_lat"), radius_m, size)))
+    west, east = _columns(F.col("q_lon"), F.col("q_lon"), F.col("_reach"), size)
+    asked = asked.withColumns({"_west": west, "_east": east, "_row": cy})
     placed = with_cell(points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()), size)
-    # The box test is cheap and drops half of the candidates before any trigonometry.
-    near = (F.abs(F.col("lon") - F.col("q_lon")) <= F.col("_reach")) & (F.abs(F.col("lat") - F.col("q_lat")) <= size[1])
-    met = salted_join(placed, visits, CELL, points.columns, hot_rows).filter(near)
-    distance = geo.distance_m(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat"))
-    return _within(met, distance, radius_m).drop("_reach", *CELL)
+    window = ["_west", "_east", "_row"]
+    spots = cut_lineage(placed.groupBy(*CELL).agg(F.count("*").alias("_n")))
+    windows = cut_lineage(asked.groupBy(*window).agg(F.count("*").alias("_n")))
+
+    up = lambda name: F.expr(f"shiftright({name}, {DEPTH} - _level)")
+    level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("_level")
+    both = spots.select(*CELL, F.col("_n").alias("_p"), F.lit(0).cast("bigint").alias("_q")).unionByName(
+        windows.select(F.expr("shiftright(_west + _east, 1)").alias("cx"), F.col("_row").alias("cy"), F.lit(0).cast("bigint").alias("_p"), F.col("_n").alias("_q")))
+    cells = both.select("*", level).withColumns({"_x": up("cx"), "_y": up("cy")}).groupBy(*LEAF).agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    light = (F.col("_p").cast("double") * F.col("_q") <= DENSE_PAIRS) & (F.greatest("_p", "_q") <= hot_rows)
+    whole = cells.filter(light | (F.col("_level") == DEPTH)).select(*LEAF)
+    leaves = (
+        spots.select("*", level).withColumns({"_x": up("cx"), "_y": up("cy")}).join(whole, LEAF)
+        .groupBy(*CELL, "_n").agg(F.min("_level").alias("_level")).withColumns({"_x": up("cx"), "_y": up("cy")}))
+
+    met = (
+        windows.withColumn("cx", _around(F.col("_west"), F.col("_east"))).withColumn("cy", _around(F.col("_row") - 1, F.col("_row") + 1))
+        .join(leaves.drop("_n"), CELL).select(*window, "_n", *LEAF).distinct())
+    parts = lambda rows: F.ceil(F.sum(rows) / F.lit(hot_rows)).cast("int")
+    loads = leaves.groupBy(*LEAF).agg(parts("_n").alias("_point_parts")).join(met.groupBy(*LEAF).agg(parts("_n").alias("_query_parts")), LEAF)
+    routes = met.drop("_n").join(loads, LEAF).groupBy(*window).agg(F.collect_list(F.struct(*LEAF, "_point_parts", "_query_parts")).alias("_leaves"))
+    homes = leaves.join(loads, LEAF).select(*CELL, *LEAF, "_point_parts", "_query_parts")
+
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    part = lambda columns, count: F.pmod(F.xxhash64(*columns), F.col(count)).cast("int")
+    held = (
+        salted_join(placed, homes, CELL, points.columns, hot_rows, spots)
+        .withColumn("_point_part", part(points.columns, "_point_parts")).withColumn("_query_part", each("_query_parts")))
+    sent = (
+        salted_join(asked, routes, window, queries.columns, hot_rows, windows)
+        .withColumn("_leaf", F.explode("_leaves")).select(*queries.columns, "_reach", "_leaf.*")
+        .withColumn("_query_part", part(queries.columns, "_query_parts")).withColumn("_point_part", each("_point_parts")))
+    return held.select(*points.columns, *PIECE), sent.select(*queries.columns, "_reach", *PIECE)
 
 
 def _columns(west: Column, east: Column, reach: Column, size: tuple[float, float]) -> tuple[Column, Column]:

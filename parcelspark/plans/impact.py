@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelspark.functions.numbers import clip, round_even, saturating
-from parcelspark.operators.skew import grouped_median
+from parcelspark.operators.skew import grouped_median, salted_join
 from parcelspark.operators.covers import area_line_pairs, area_point_pairs
 from parcelspark.plans.views import anchor_dates, project_nearby_sales
 from parcelspark.session import cut_lineage
@@ -59,16 +59,22 @@ def road_impact(projects: DataFrame, roads: DataFrame, radius_m: float = 3000.0)
 
 
 def uplift_samples(projects: DataFrame, stages: DataFrame, sales: DataFrame, window_days: int = 365) -> DataFrame:
-    """Post-anchor sales against the median unit price of the year before."""
-    anchors = anchor_dates(projects, stages).select("project_id", "anchor_date")
-    near = project_nearby_sales(projects, sales).join(anchors, "project_id").withColumn(
-        "unit_price", F.col("deal_amount_krw").cast("double") / F.nullif(F.col("area_m2").cast("double"), F.lit(0.0)))
+    """Post-anchor sales against the median unit price of the year before.
+
+    A project's anchor travels with its shape, so it needs no join with the sales; the sales in reach are found once
+    and stored. The median comes from bucket counts, and is looked up by salted parts of a project with many sales.
+    """
+    anchors = anchor_dates(projects, stages).filter(F.col("anchor_date").isNotNull()).select(F.col("project_id").alias("id"), "anchor_date")
     date, anchor = F.col("contract_date"), F.col("anchor_date")
-    before = near.filter((date < anchor) & (date >= F.date_sub(anchor, window_days)))
-    base = grouped_median(before, ["project_id"], "unit_price", "base").filter(F.col("base") > 0)
+    near = cut_lineage(
+        project_nearby_sales(projects.join(anchors, "id"), sales, carry=("anchor_date",))
+        .filter(date >= F.date_sub(anchor, window_days))
+        .select("project_id", "project_type", "source_id", "contract_date", "anchor_date", "distance_m",
+                (F.col("deal_amount_krw").cast("double") / F.nullif(F.col("area_m2").cast("double"), F.lit(0.0))).alias("unit_price")))
+    base = grouped_median(near.filter(date < anchor), ["project_id"], "unit_price", "base").filter(F.col("base") > 0)
     months = (F.year(date) - F.year(anchor)) * 12 + F.month(date) - F.month(anchor)
     return (
-        near.filter((date >= anchor) & F.col("unit_price").isNotNull()).join(base, "project_id")
+        salted_join(near.filter((date >= anchor) & F.col("unit_price").isNotNull()), base, ["project_id"], ["source_id"])
         .select(
             "project_id", "project_type", "source_id", "distance_m", "base", months.alias("months_since_anchor"),
             ((F.col("unit_price") - F.col("base")) / F.col("base")).alias("uplift_pct"), F.lit(1.0).alias("weight")))

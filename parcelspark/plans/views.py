@@ -81,9 +81,10 @@ def anchor_dates(projects: DataFrame, stages: DataFrame) -> DataFrame:
         F.coalesce("started", "planned_announcement_date").alias("anchor_date"))
 
 
-def project_nearby_sales(projects: DataFrame, sales: DataFrame, radius_m: float = 5000.0) -> DataFrame:
+def project_nearby_sales(projects: DataFrame, sales: DataFrame, radius_m: float = 5000.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Sales in reach of each project; ``carry`` names further project columns to keep."""
     areas = projects.select(
-        F.col("id").alias("project_id"), F.col("name").alias("project_name"), "project_type", "polygon")
+        F.col("id").alias("project_id"), F.col("name").alias("project_name"), "project_type", "polygon", *carry)
     points = sales.select(
         "source_id", "contract_date", "deal_amount_krw", "area_m2", "transaction_type", "lon", "lat")
     return area_point_pairs(areas, points, radius_m, "source_id")
