@@ -3,9 +3,11 @@
 The field tags tokens as secret begin, inside or outside. Its features are the token's
 shape (length, alphabet, changes between letters and digits, variety of characters),
 the word before and after, the mark before, and two features of the whole file. It is
-trained by maximum likelihood on a bounded sample of texts tagged by the patterns. In a third of
-the examples the pattern's keyword is hidden, in another third the secret is replaced by a random
-one of another alphabet, so that the field learns more than the patterns that tagged its examples. Decoding is exact Viterbi over whole texts: long texts are cut into pieces that
+trained by maximum likelihood on a bounded sample of texts. Into any of them secrets of many shapes are
+planted, with and without a word or mark before them, beside harmless tokens that look alike: identifiers, links,
+image data, file names, version numbers, long words. Matches of the patterns are examples too; in a third of
+them the pattern's keyword is hidden, in another third the secret is replaced by a random
+one of another alphabet. So the field learns secrets that no pattern finds. Decoding is exact Viterbi over whole texts: long texts are cut into pieces that
 are solved for every state before them and then joined.
 """
 
@@ -39,12 +41,19 @@ SAMPLE_DOCS = 1500
 SEGMENTS, SEGMENT = 4, 40
 MORE = 12
 PIECE = 256
-#: Letters of the random secrets that replace some in training.
-ALPHABETS = ("0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits)
+#: Things planted into one sampled text, secrets and harmless ones.
+PLANTED = 5
+#: Letters of the random secrets of training.
+ALPHABETS = ("0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits)
+#: Beginnings of issued keys, words beside secrets, words beside harmless data.
+PREFIXES = ("AKIA", "ghp_", "gho_", "glpat-", "sk_live_", "sk-", "xoxb-", "AIza", "eyJ")
+SECRET_WORDS = ("key", "pwd", "auth", "bearer", "credential", "private", "pass")
+DATA_WORDS = ("base64", "image", "png", "jpeg", "gif", "uuid", "guid", "commit", "version", "isbn", "href", "order", "ticket", "build")
+UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 
 WORD_TOKEN, MARK_TOKEN = 1, 2
-LENGTHS, SHAPES, CHANGES, VARIETY, LEXICAL = 8, 14, 5, 5, 10
+LENGTHS, SHAPES, CHANGES, VARIETY, LEXICAL = 8, 14, 5, 5, 11
 #: Feature numbers: own length x shape, own changes x variety, own lexical class; word before, word after, mark before, file.
 OWN, MESS, LEX = 0, LENGTHS * SHAPES, LENGTHS * SHAPES + CHANGES * VARIETY
 BEFORE = LEX + LEXICAL
@@ -68,6 +77,13 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def _path(plain: str) -> bool:
+    """Whether a token reads as a path or a file name: parts that are words, joined by strokes, or a short last part."""
+    parts = re.split(r"[/]", plain)
+    words = sum(p.isalpha() or p.replace(".", "").replace("-", "").replace("_", "").isalpha() for p in parts)
+    return len(parts) > 1 and words * 2 >= len(parts) and max(map(len, parts)) < 24
+
+
 def token_features(token: str) -> tuple[int, int, int, int]:
     """Own length x shape, changes x variety, lexical class, and shape alone."""
     n = len(token)
@@ -95,7 +111,18 @@ def token_features(token: str) -> tuple[int, int, int, int]:
     unlike = len(set(plain))
     variety = 0 if unlike < 4 else 1 if unlike < 7 else 2 if unlike < 10 else 3 if unlike < 14 else 4
     low = plain.lower()
-    lexical = 5 if any(k in low for k in KEYWORDS) else 6 if any(k in low for k in ("key", "pwd", "auth", "bearer", "credential", "private", "pass")) else 7 if plain.startswith("AKIA") else 8 if plain[:4] in ("http", "www.") or "/" in plain else 0
+    if any(k in low for k in KEYWORDS):
+        lexical = 5
+    elif plain.startswith(PREFIXES):
+        lexical = 7
+    elif UUID.fullmatch(plain):
+        lexical = 9
+    elif n < 16 and any(k in low for k in DATA_WORDS):
+        lexical = 10
+    elif n < 16 and any(k in low for k in SECRET_WORDS):
+        lexical = 6
+    else:
+        lexical = 8 if plain[:4] in ("http", "www.") or token.startswith("//") or _path(plain) else 0
     return OWN + length * SHAPES + shape, MESS + turns * VARIETY + variety, LEX + lexical, shape
 
 
@@ -330,46 +357,136 @@ def _value_spans(text: str) -> list[tuple[int, int]]:
     return kept
 
 
+def random_secret(draw: random.Random) -> str:
+    """A secret of one of several kinds; most are matched by no pattern."""
+    run = lambda letters, low, high: "".join(draw.choices(letters, k=draw.randint(low, high)))
+    alnum = string.ascii_letters + string.digits
+    kind = draw.randrange(8)
+    if kind < 4:
+        return run(ALPHABETS[draw.randrange(len(ALPHABETS))], 20, 44)
+    if kind == 4:
+        return draw.choice(PREFIXES[1:]) + run(alnum, 20, 40)
+    if kind == 5:  # a signed web token
+        return ".".join(("eyJ" + run(alnum, 16, 30), run(alnum + "-_", 24, 60), run(alnum + "-_", 30, 43)))
+    if kind == 6:  # lines of a private key
+        return "\n".join([run(ALPHABETS[2], 64, 64) for _ in range(draw.randint(2, 6))] + [run(ALPHABETS[2], 12, 60) + "=" * draw.randrange(3)])
+    return run(alnum, 8, 14) + draw.choice("!$%#&") + run(alnum, 8, 14)
+
+
+def random_harmless(draw: random.Random) -> str:
+    """Text that looks like a secret and is none; runs of 24 lower-case hexadecimal digits are left to the patterns."""
+    run = lambda letters, low, high: "".join(draw.choices(letters, k=draw.randint(low, high)))
+    low, alnum = string.ascii_lowercase, string.ascii_letters + string.digits
+    word = lambda: run(low, 3, 9)
+    kind = draw.randrange(10)
+    if kind == 0:
+        hexes = lambda k: run("0123456789abcdef", k, k)
+        made = "-".join((hexes(8), hexes(4), hexes(4), hexes(4), hexes(12)))
+        return made.upper() if draw.random() < 0.3 else made
+    if kind == 1:
+        return f"https://{word()}.{draw.choice(('com', 'org', 'net'))}/{word()}/{run(alnum, 8, 40)}"
+    if kind == 2:
+        return f"data:image/{draw.choice(('png', 'jpeg', 'gif'))};base64," + run(alnum + "+/", 40, 300)
+    if kind == 3:
+        return "".join(word().capitalize() for _ in range(draw.randint(3, 6)))
+    if kind == 4:
+        return run(low, 20, 45)
+    if kind == 5:
+        return f"{draw.choice(('ORD', 'INV', 'REF', 'SKU', 'ID'))}-{draw.randint(1990, 2030)}-{draw.randrange(10**6):06d}"
+    if kind == 6:
+        return f"/{word()}/{word()}/{word()}_{draw.randrange(1000)}.{draw.choice(('txt', 'png', 'html'))}"
+    if kind == 7:
+        return f"{draw.randint(1990, 2030)}-{draw.randint(1, 12):02d}-{draw.randint(1, 28):02d}T{draw.randrange(24):02d}:{draw.randrange(60):02d}:00Z"
+    if kind == 8:
+        return f"commit {run('0123456789abcdef', 7, 12)}"
+    return run(string.digits, 6, 20)
+
+
+def plant(text: str, draw: random.Random, count: int = PLANTED) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """Text with ``count`` secrets and harmless tokens put in at white space: the new text, the secrets' spans, all places."""
+    cuts = sorted(draw.randrange(len(text) + 1) for _ in range(count))
+    parts, spans, places, size, done = [], [], [], 0, 0
+
+    def add(piece: str) -> None:
+        nonlocal size
+        parts.append(piece)
+        size += len(piece)
+
+    for cut in cuts:
+        while cut < len(text) and not text[cut].isspace():
+            cut += 1
+        cut = max(cut, done)
+        add(text[done:cut])
+        done = cut
+        places.append(size)
+        if draw.random() < 0.5:
+            add(draw.choice((" ", " ", "\n", " (", ' "', " id ", " see ")) + random_harmless(draw) + draw.choice((" ", ". ", "\n", ") ")))
+            continue
+        add(draw.choice((" ", " ", " ", "\n", " bearer ", " aws_key ", " key: ", " the key is ", ' "', " (", " = ", " pwd=", " login with ", " use ")))
+        secret = random_secret(draw)
+        if "\n" in secret:
+            add("-----BEGIN PRIVATE KEY-----\n" if draw.random() < 0.7 else "")
+        begin = size
+        add(secret)
+        spans.append((begin, size))
+        add(draw.choice((" ", " ", ". ", ", ", "\n", '" ', ") ")))
+    add(text[done:])
+    return "".join(parts), spans, places
+
+
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_docs: int = SAMPLE_DOCS) -> CrfModel:
-    """Field fitted to segments of about ``sample_docs`` texts, chosen by id hash and tagged by the patterns.
+    """Field fitted to segments of about ``sample_docs`` texts, chosen by a hash of id and text.
 
-    Of texts with a secret, which are few, MORE times that share is used. From each text come segments
-    around its first secrets and one from a place given by the hash.
-    No texts, or none with a secret: the field tags nothing.
+    Each of them gives segments around what ``plant`` puts into it and one of the text as it is. Of texts with a secret of the
+    patterns, which are few, MORE times that share is used, with segments around the first secrets.
+    Rows with equal id and text count once. No texts: the field tags nothing.
     """
     rows = docs.select(F.coalesce(docs[id_column].cast("string"), F.lit("")).alias("id"), docs[text_column].alias("text")).filter("text is not null and text <> ''")
     share = min(1.0, sample_docs / max(rows.count(), 1))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
     limit = int(share * (1 << 30))
-    chosen = rows.withColumn("place", place).filter(F.col("place") <= limit * MORE)
+    chosen = rows.withColumn("place", place).filter(F.col("place") <= limit * MORE).dropDuplicates(["place"])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts, places = batch.column("text").to_pylist(), batch.column("place").to_pylist()
-            tokens = tokens_of(texts)
-            tags = _tags(tokens, [_value_spans(t) for t in texts])
-            edges = np.searchsorted(tokens.text, np.arange(len(texts) + 1))
             out = {"place": [], "number": [], "features": [], "tags": []}
-            for k, spot in enumerate(places):
-                lo, hi = int(edges[k]), int(edges[k + 1])
-                hits = (lo + np.flatnonzero(tags[lo:hi] == BEGIN)).tolist()
-                if hi == lo or (spot > limit and not hits):
+            texts, places = batch.column("text").to_pylist(), batch.column("place").to_pylist()
+            own = [_value_spans(t) for t in texts]
+            keep = [k for k, spot in enumerate(places) if spot <= limit or own[k]]
+            for k in keep:
+                spot, number = places[k], 0
+
+                def take(tokens: Tokens, tags: np.ndarray, begins: list[int], disguise: bool) -> None:
+                    nonlocal number
+                    for a in begins:
+                        b = min(a + SEGMENT, len(tags))
+                        features = tokens.features[a:b].copy()
+                        if disguise and (spot + number) % 3 == 0:  # hide the pattern's keyword
+                            features[features[:, 2] == LEX + 5, 2] = LEX
+                            near = (features[:, 3] - BEFORE) // SHAPES == 5
+                            features[near, 3] -= 5 * SHAPES
+                        elif disguise and (spot + number) % 3 == 1:
+                            draw = random.Random(spot + number)
+                            for at in np.flatnonzero(tags[a:b] != OUTSIDE).tolist():
+                                features[at, :3] = token_features("".join(draw.choices(draw.choice(ALPHABETS), k=draw.randint(16, 44))))[:3]
+                        for name, value in zip(out, (spot, number, features.tobytes(), tags[a:b].tobytes())):
+                            out[name].append(value)
+                        number += 1
+
+                tokens = tokens_of([texts[k]])
+                n = len(tokens.begins)
+                if not n:
                     continue
-                begins = [max(lo, h - (spot >> 3) % (SEGMENT // 2) - 4) for h in hits[: SEGMENTS - 1]] + [lo + spot % max(hi - lo - SEGMENT, 1)]
-                for number, a in enumerate(begins):
-                    b = min(a + SEGMENT, hi)
-                    features = tokens.features[a:b].copy()
-                    if (spot + number) % 3 == 0:  # hide the pattern's keyword
-                        features[features[:, 2] == LEX + 5, 2] = LEX
-                        near = (features[:, 3] - BEFORE) // SHAPES == 5
-                        features[near, 3] -= 5 * SHAPES
-                    elif (spot + number) % 3 == 1:
-                        draw = random.Random(spot + number)
-                        for at in np.flatnonzero(tags[a:b] != OUTSIDE).tolist():
-                            made = token_features("".join(draw.choices(draw.choice(ALPHABETS), k=draw.randint(16, 44))))
-                            features[at, :3] = made[:3]
-                    for name, value in zip(out, (spot, number, features.tobytes(), tags[a:b].tobytes())):
-                        out[name].append(value)
+                tags = _tags(tokens, [own[k]])
+                hits = np.flatnonzero(tags == BEGIN).tolist()
+                take(tokens, tags, [max(0, h - (spot >> 3) % (SEGMENT // 2) - 4) for h in hits[: SEGMENTS - 1]] + [spot % max(n - SEGMENT, 1)], True)
+                if spot <= limit:
+                    made, spans, at = plant(texts[k], random.Random(spot))
+                    tokens = tokens_of([made])
+                    clear = [(a, b) for a, b in _value_spans(made) if not any(a < d and c < b for c, d in spans)]
+                    tags = _tags(tokens, [sorted(spans + clear)])
+                    first = np.searchsorted(tokens.begins, at).tolist()
+                    take(tokens, tags, [max(0, f - 4 - (spot >> j) % (SEGMENT // 2)) for j, f in enumerate(first)], False)
             yield pa.RecordBatch.from_arrays([pa.array(out["place"], pa.int64()), pa.array(out["number"], pa.int32()), pa.array(out["features"], pa.binary()),
                                               pa.array(out["tags"], pa.binary())], names=list(out))
 
