@@ -41,8 +41,8 @@ SAMPLE_DOCS = 1500
 SEGMENTS, SEGMENT = 4, 40
 MORE = 12
 PIECE = 256
-#: Things planted into one sampled text, secrets and harmless ones.
-PLANTED = 5
+#: Sampled texts that get planted examples, at most about; things planted into one of them, secrets and harmless ones.
+PLANTED_DOCS, PLANTED = 500, 5
 #: Letters of the random secrets of training.
 ALPHABETS = ("0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits)
 #: Beginnings of issued keys, words beside secrets, words beside harmless data.
@@ -434,17 +434,17 @@ def plant(text: str, draw: random.Random, count: int = PLANTED) -> tuple[str, li
     return "".join(parts), spans, places
 
 
-def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_docs: int = SAMPLE_DOCS) -> CrfModel:
+def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_docs: int = SAMPLE_DOCS, planted_docs: int = PLANTED_DOCS) -> CrfModel:
     """Field fitted to segments of about ``sample_docs`` texts, chosen by a hash of id and text.
 
-    Each of them gives segments around what ``plant`` puts into it and one of the text as it is. Of texts with a secret of the
+    Each of them gives a segment of the text as it is; about ``planted_docs`` of them also those around what ``plant`` puts in. Of texts with a secret of the
     patterns, which are few, MORE times that share is used, with segments around the first secrets.
     Rows with equal id and text count once. No texts: the field tags nothing.
     """
     rows = docs.select(F.coalesce(docs[id_column].cast("string"), F.lit("")).alias("id"), docs[text_column].alias("text")).filter("text is not null and text <> ''")
-    share = min(1.0, sample_docs / max(rows.count(), 1))
+    total = max(rows.count(), 1)
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    limit = int(share * (1 << 30))
+    limit, plants = (int(min(1.0, wanted / total) * (1 << 30)) for wanted in (sample_docs, planted_docs))
     chosen = rows.withColumn("place", place).filter(F.col("place") <= limit * MORE).dropDuplicates(["place"])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,7 +480,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 tags = _tags(tokens, [own[k]])
                 hits = np.flatnonzero(tags == BEGIN).tolist()
                 take(tokens, tags, [max(0, h - (spot >> 3) % (SEGMENT // 2) - 4) for h in hits[: SEGMENTS - 1]] + [spot % max(n - SEGMENT, 1)], True)
-                if spot <= limit:
+                if spot <= plants:
                     made, spans, at = plant(texts[k], random.Random(spot))
                     tokens = tokens_of([made])
                     clear = [(a, b) for a, b in _value_spans(made) if not any(a < d and c < b for c, d in spans)]
