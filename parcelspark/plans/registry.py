@@ -509,6 +509,17 @@ def m7_p9_q5_untrained_suitability(t: StandIn) -> DataFrame:
     return siting.land_suitability(rows, t.official_land_prices, None, "DT")
 
 
+@query
+def l3_p9_m7_rule_ranking(t: StandIn) -> DataFrame:
+    """Candidates of both store kinds under a fixed rule of lot size, from a least score on, best ten of every region."""
+    area = F.col("parcel_area_m2").cast("double")
+    rows = siting.candidate_parcels(t.buildings).select("pnu", "region_code", "parcel_area_m2")
+    rules = {"DT": area / F.lit(2500.0), "DI": F.lit(1.0) - area / F.lit(3000.0)}
+    out = [siting.ranked_candidates(rows, rule, target, 10, 0.4).select(
+        "target", "region_code", "rank", "pnu", "score_raw", "score_100", "label_text") for target, rule in rules.items()]
+    return out[0].unionByName(out[1])
+
+
 def _parcel_features(t: StandIn) -> DataFrame:
     return features.extract_features(_entities(t), t, AS_OF, region_match="prefix")
 
