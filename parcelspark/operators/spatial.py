@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelspark.functions import geo
@@ -116,13 +118,56 @@ def _columns(west: Column, east: Column, reach: Column, size: tuple[float, float
 
 # Nested square grids for nearest-neighbour search, in degrees: each level is
 # four times coarser. On the last but one, neighbours span any pair of valid
-# coordinates (0.005 * 4**8 = 327 degrees), so every point finds a line.
+# coordinates (0.005 * 4**8 = 327 degrees), so every point finds a line. Levels
+# below 0 are added where lines lie denser than that, see ``_finest_level``.
 LEVELS = 10
 FINEST_DEGREES = 0.005
+# Cells of the finest level along a line piece of mean length, at most.
+PIECE_CELLS = 64
+
+
+def _cell_degrees(level: Column) -> Column:
+    return F.lit(FINEST_DEGREES) * F.pow(F.lit(4.0), level)
 
 
 def _level_cell(value: Column, level: Column) -> Column:
-    return F.floor(value / (F.lit(FINEST_DEGREES) * F.pow(F.lit(4.0), level))).cast("int")
+    return F.floor(value / _cell_degrees(level)).cast("int")
+
+
+def _finest_level(edges: DataFrame) -> int:
+    """0, or the negative level whose cells are about as wide as ends of ``edges`` lie apart."""
+    e, low, high = F.col("edge"), F.least, F.greatest
+    width = F.max(high(e["x1"], e["x2"])) - F.min(low(e["x1"], e["x2"]))
+    height = F.max(high(e["y1"], e["y2"])) - F.min(low(e["y1"], e["y2"]))
+    length = F.avg(high(F.abs(e["x2"] - e["x1"]), F.abs(e["y2"] - e["y1"])))
+    row = edges.agg(F.count("*").alias("n"), width.alias("w"), height.alias("h"), length.alias("l")).first()
+    if not row["n"] or not row["l"] or not row["w"] or not row["h"]:
+        return 0
+    apart = (row["w"] * row["h"] / row["n"]) ** 0.5
+    finer = min(math.ceil(math.log(FINEST_DEGREES / apart, 4)) + 1, math.floor(math.log(FINEST_DEGREES * PIECE_CELLS / row["l"], 4)))
+    return -max(0, finer)
+
+
+def _edge_cells(edges: DataFrame) -> DataFrame:
+    """``edges`` (edge, level) repeated over the cells of their level that they pass through and the neighbours of these.
+
+    Rows are taken per column, from the part of the edge over the column and its neighbours, so a slanting
+    edge does not fill its bounding box; a thousandth of a cell more on each side covers rounding.
+    """
+    e, size = F.col("edge"), _cell_degrees(F.col("level"))
+    x1, y1, x2, y2 = (e[n] for n in ("x1", "y1", "x2", "y2"))
+    west, east = F.least(x1, x2), F.greatest(x1, x2)
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    columns = edges.withColumn("cx", _around(_level_cell(west, F.col("level")) - 1, _level_cell(east, F.col("level")) + 1))
+    at = lambda x: y1 + (x - x1) * F.try_divide(y2 - y1, x2 - x1)
+    columns = columns.withColumns({
+        "_a": at(F.greatest(west, (F.col("cx") - 1) * size)), "_b": at(F.least(east, (F.col("cx") + 2) * size)), "_size": size})
+    steep = east - west <= F.col("_size")
+    first = F.when(steep, low).otherwise(F.least("_a", "_b")) - F.col("_size") * 0.001
+    last = F.when(steep, high).otherwise(F.greatest("_a", "_b")) + F.col("_size") * 0.001
+    rows = columns.withColumns({
+        "_first": F.floor(first / F.col("_size")).cast("int") - 1, "_last": F.floor(last / F.col("_size")).cast("int") + 1})
+    return rows.withColumn("cy", _around(F.col("_first"), F.col("_last"))).drop("_a", "_b", "_size", "_first", "_last")
 
 
 def nearest_line(
@@ -130,22 +175,31 @@ def nearest_line(
 ) -> DataFrame:
     """Closest line per point: ``point_id``, ``line_id``, ``distance_m``.
 
-    1. Every line vertex marks its cell and the neighbours on each level.
+    1. Every end of a line piece marks its cell and the neighbours on each level.
+       The finest level follows the density of the lines.
     2. A point takes the finest marked level of its own cell: a line is then at
        most two cells away in each direction.
     3. That bound fits into one cell of the next coarser level, so the point
        meets all possible winners in the nine cells there. Lines are repeated
        over these cells, points are not.
+    4. The smallest value per point is a hash aggregate; a second meeting finds the line that has it, so
+       the candidates are neither sorted nor written.
     ``metric='degree'`` ranks by raw coordinates and reports metres;
     ``metric='metre'`` ranks by metres. Ties go to the smaller id. Points are
     absent only where there is no line at all.
     """
     located = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     drawn = lines.filter(F.col(line).isNotNull()).select(line_id, line)
-    level = F.col("level")
+    e = F.col("edge")
+    edges = cut_lineage(
+        drawn.select(line_id, F.explode(geo.edges_of(F.col(line), closed=False)).alias("edge"))
+        .filter(e["x1"].isNotNull() & e["y1"].isNotNull() & e["x2"].isNotNull() & e["y2"].isNotNull()))
+    finest = _finest_level(edges)
+    level, levels = F.col("level"), F.explode(F.sequence(F.lit(finest), F.lit(LEVELS - 2)))
+    ends = F.array(F.struct(e["x1"].alias("lon"), e["y1"].alias("lat")), F.struct(e["x2"].alias("lon"), e["y2"].alias("lat")))
     marks = (
-        drawn.select(F.explode(line).alias("v"))
-        .select("v", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 2))).alias("level"))
+        edges.select(F.explode(ends).alias("v")).distinct()
+        .select("v", levels.alias("level"))
         .select("level", _level_cell(F.col("v.lon"), level).alias("mx"), _level_cell(F.col("v.lat"), level).alias("my"))
         .distinct()
         .withColumn("cx", _around(F.col("mx") - 1, F.col("mx") + 1))
@@ -153,26 +207,28 @@ def nearest_line(
         .select("level", *CELL).distinct())
     keyed = located.select(point_id, F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
     marked = (
-        keyed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 2))))
+        keyed.withColumn("level", levels)
         .withColumn("cx", _level_cell(F.col("p_lon"), level)).withColumn("cy", _level_cell(F.col("p_lat"), level))
         .join(marks, ["level", *CELL]))
-    leveled = (
+    leveled = cut_lineage(
         marked.groupBy(point_id).agg(
             (F.min("level") + 1).alias("level"), F.first("p_lon").alias("p_lon"), F.first("p_lat").alias("p_lat"))
         .withColumn("cx", _level_cell(F.col("p_lon"), level)).withColumn("cy", _level_cell(F.col("p_lat"), level)))
-    pieces = (
-        drawn.select(line_id, F.explode(geo.edges_of(F.col(line), closed=False)).alias("edge"))
-        .withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS - 1)))))
-
-    def reach(a: str, b: str) -> Column:
-        low, high = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-        return _around(_level_cell(low, level) - 1, _level_cell(high, level) + 1)
-
-    pieces = pieces.withColumn("cx", reach("edge.x1", "edge.x2")).withColumn("cy", reach("edge.y1", "edge.y2"))
-    met = geo.with_edge_distance(
-        salted_join(leveled, pieces, ["level", *CELL], [point_id]), "p_lon", "p_lat", "edge", "metres", "degrees")
-    by = F.col("metres" if metric == "metre" else "degrees")
-    met = met.select(
-        point_id, F.struct(by.alias("by"), F.col(line_id).alias("line"), F.col("metres")).alias("hit"))
-    return met.groupBy(point_id).agg(F.min("hit").alias("hit")).select(
-        point_id, F.col("hit.line").alias(line_id), F.col("hit.metres").alias("distance_m"))
+    counts = cut_lineage(leveled.groupBy("level", *CELL).agg(F.count("*").alias("_n")))
+    used = sorted(r["level"] for r in counts.select("level").distinct().collect())  # a number per level at most
+    at_levels = F.explode(F.array(*map(F.lit, used)).cast("array<int>"))
+    # cells without a point meet nobody
+    pieces = cut_lineage(_edge_cells(edges.withColumn("level", at_levels)).join(counts.drop("_n"), ["level", *CELL], "left_semi"))
+    by = "metres" if metric == "metre" else "degrees"
+
+    def met(asked: DataFrame) -> DataFrame:
+        return geo.with_edge_distance(
+            salted_join(asked, pieces, ["level", *CELL], [point_id], counts=counts), "p_lon", "p_lat", "edge", "metres", "degrees")
+
+    least = met(leveled).groupBy(*leveled.columns).agg(F.min(by).alias("least"))
+    # through a one-element explode, see ``_within``
+    hits = met(least).withColumn("_by", F.explode(F.array(by))).filter(F.col("_by").eqNullSafe(F.col("least")))
+    return (
+        hits.groupBy(point_id, line_id).agg(F.min("metres").alias("metres"))
+        .groupBy(point_id).agg(F.min(F.struct(F.col(line_id).alias("line"), F.col("metres"))).alias("hit"))
+        .select(point_id, F.col("hit.line").alias(line_id), F.col("hit.metres").alias("distance_m")))
