@@ -13,6 +13,10 @@
    threshold less three standard errors with one of another component are named, and their cell compares their full sets
    by a matrix product. A cell gives only links that join components, fewer than it has members; no pairs leave it.
    The work still grows with the square of a region whose members stay apart, over BLOCK; rows a cell reads are at most 2 * BLOCK.
+5. What signatures can miss is found exactly: all shingles have one order, rarer ones first by counts in hashed buckets, and two sets that
+   reach the threshold share one of the first n - ceil(n * threshold) + 1 of each. Classes of different components that share such
+   a shingle are compared by its places, which bound the intersection, and by a very loose test of signatures (LOOSE), and the pairs left
+   are confirmed on full sets. The order decides on the work only, not on the links.
 
 No group is gathered: hot regions are cut by depth, hubs are found by partial aggregation, and a hot word sequence is
 one class. Regions that no depth can cut have equal signatures and are linked to their smallest member.
@@ -27,7 +31,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from parcelspark.llm.graph import components
@@ -44,6 +48,13 @@ BLOCK = 256
 LANE = 1024
 #: Shingles of a cell that are multiplied at a time.
 STRIP = 4096
+#: Buckets in which shingles are counted for their order, a fixed size.
+COUNTED = 1 << 16
+#: Holders of a shingle on the other side of a lane of a join of step 5, about.
+WIDE = 16 * BLOCK
+#: A pair of step 5 whose signatures agree in less than the threshold less this is not fetched: by Hoeffding's bound
+#: exp(-2 * VALUES * LOOSE ** 2), once in 4e13 pairs at the threshold, which is rarer than equal hashes of different shingles.
+LOOSE = 0.35
 #: Documents whose sets are fetched are broadcast as a list of ids up to this number.
 BROADCAST_IDS = 500_000
 
@@ -53,8 +64,8 @@ FACTORS = _random.integers(1, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
 ORDERS = np.array([np.concatenate([(np.arange(8) + 8 * tree) % VALUES, _random.permutation(np.setdiff1d(np.arange(VALUES), (np.arange(8) + 8 * tree) % VALUES))]) for tree in range(TREES)])
 
 
-def shingle_sets(texts: list[str | None], width: int) -> tuple[list[np.ndarray], list[bytes]]:
-    """Sorted distinct shingle hashes and the word-sequence key of every text; no words, empty set and key."""
+def shingle_rows(texts: list[str | None], width: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Shingle hashes in text order, repeats included, and the word-sequence key of every text; no words, empty row and key."""
     table = defaultdict(count().__next__)
     rows, keys = [], []
     for text in texts:
@@ -62,19 +73,51 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[list[np.ndarray],
         rows.append(np.fromiter(map(table.__getitem__, words), np.int64, len(words)))
         keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else b"")
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, table), np.uint64, len(table))
-    sets = []
+    found = []
     for row in rows:
         own = hashes[row]
         n = len(own)
         if not n:
-            sets.append(own)
+            found.append(own)
             continue
         span = min(width, n)
         value = np.full(n - span + 1, span, np.uint64)
         for k in range(span):
             value = mix(value ^ own[k : n - span + 1 + k])
-        sets.append(np.unique(value))
-    return sets, keys
+        found.append(value)
+    return found, keys
+
+
+def shingle_sets(texts: list[str | None], width: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Sorted distinct shingle hashes and the word-sequence key of every text; no words, empty set and key."""
+    rows, keys = shingle_rows(texts, width)
+    return [np.unique(row) for row in rows], keys
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNTED.bit_length() + 1)).astype(np.int64)
+
+
+def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """Number of shingles of all texts (doc_id, text) in each of the COUNTED buckets of hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTED, np.int64)
+        for batch in slices(batches, "text"):
+            rows, _ = shingle_rows(batch.column("text").to_pylist(), width)
+            total += np.bincount(_bucket(np.concatenate(rows)), minlength=COUNTED)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int64()), "n": pa.array(total[full], pa.int64())})
+
+    out = np.zeros(COUNTED, np.int64)
+    for row in texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most COUNTED rows
+        out[row.bucket] = row.n
+    return out
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set, rarest bucket first: a set that reaches ``percent`` with it has one of them among its own first ones."""
+    n = len(shingles)
+    return shingles[np.argsort(counts[_bucket(shingles)], kind="stable")[: n - -(-percent * n // 100) + 1]]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -101,11 +144,12 @@ def _matrix(raws: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raws), np.uint32).reshape(len(raws), VALUES)
 
 
-def described(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, key, signature, regions) of (doc_id, text)."""
+def described(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """(doc_id, n_shingles, key, signature, regions, prefix) of (doc_id, text). ``counts`` are those of ``bucket_counts``."""
+    held = docs.sparkSession.sparkContext.broadcast(counts)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()),
-        T.StructField("signature", T.BinaryType()), T.StructField("regions", T.ArrayType(T.LongType()))])
+        T.StructField("signature", T.BinaryType()), T.StructField("regions", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -113,14 +157,15 @@ def described(docs: DataFrame, width: int) -> DataFrame:
             full = [k for k, s in enumerate(sets) if len(s)]
             raws: list[bytes | None] = [None] * len(sets)
             regions: list[list[int] | None] = [None] * len(sets)
+            firsts: list[np.ndarray | None] = [None] * len(sets)
             if full:
                 found = signatures([sets[k] for k in full])
                 tops = np.column_stack([prefix_keys(found, tree, DEPTHS[0]) for tree in range(TREES)])
                 for k, row, top in zip(full, found, tops):
-                    raws[k], regions[k] = row.tobytes(), top
+                    raws[k], regions[k], firsts[k] = row.tobytes(), top, prefix(sets[k], held.value, percent).view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary()),
-                pa.array(regions, pa.list_(pa.int64()))], names=schema.names)
+                pa.array(regions, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -326,6 +371,53 @@ def joining_links(members: DataFrame, docs: DataFrame, width: int, percent: int)
     return members.join(held, "doc_id").groupBy("region", "first", "second").applyInArrow(lambda table: _joining_links(table, percent), pair)
 
 
+def contested(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(shingle, doc_id, label, n, room): the prefix shingles of ``classes`` (doc_id, n_shingles, prefix) that classes of several components hold.
+
+    ``room`` is the size of the set from this shingle on. ``labels`` as in ``partnered``.
+    """
+    own = classes.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    spots = own.select("doc_id", "label", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
+    holders = Window.partitionBy("shingle")
+    mixed = F.min("label").over(holders) != F.max("label").over(holders)
+    return spots.select("shingle", "doc_id", "label", "n", (F.col("n") - F.col("at")).alias("room"), mixed.alias("mixed")).filter("mixed").drop("mixed")
+
+
+def prefix_pairs(spots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components of ``spots`` (see ``contested``) that can reach ``percent`` by the places of a shared shingle.
+
+    The first shingle that two sets share leaves room for their whole intersection, so no pair that reaches ``percent`` is lost. The members
+    of a shingle's largest component are not compared with each other. The other members meet all of them, both sides dealt over lanes.
+    """
+    parts = spots.groupBy("shingle", "label").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("shingle").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("holders"))
+    mixed = mixed.select("shingle", F.col("top.label").alias("main"), F.ceil((F.col("holders") - F.col("top.size")) / BLOCK).alias("lefts"), F.ceil(F.col("holders") / WIDE).alias("rights"))
+    held = spots.join(mixed, "shingle")
+    lane = lambda name: F.pmod(F.xxhash64("doc_id", "shingle"), F.col(name))
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    side = lambda own: [F.col(name).alias(f"{own}_{name}") for name in ("doc_id", "label", "n", "room")]
+    left = held.filter("label <> main").select("shingle", *side("a"), lane("lefts").alias("left"), every("rights").alias("right"))
+    right = held.select("shingle", *side("b"), "main", lane("rights").alias("right"), every("lefts").alias("left"))
+    c = F.col
+    once = (c("a_label") != c("b_label")) & ((c("b_label") == c("main")) | (c("a_doc_id") < c("b_doc_id")))
+    enough = (100 + percent) * F.least("a_room", "b_room") >= percent * (c("a_n") + c("b_n"))
+    return (left.join(right, ["shingle", "left", "right"]).filter(once & enough)
+            .select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct())
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose signatures in ``classes`` (doc_id, signature) agree in at least ``least``; of several signatures of one id any will do."""
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (_matrix(batch.column(name).to_pylist()) for name in ("left", "right"))
+                yield batch.select(["a", "b"]).filter(pa.array((left == right).mean(1) >= least))
+
+    side = lambda own, name: classes.select(F.col("doc_id").alias(own), F.col("signature").alias(name))
+    met = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
+    return met.mapInArrow(agreeing, pairs.select("a", "b").schema).distinct()
+
+
 def shingles_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles) of the documents of ``ids`` (doc_id, may repeat): the hashes of their full sets."""
     id_type = docs.schema["doc_id"].dataType
@@ -374,21 +466,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     nothing else and kept. Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    seen = materialise(described(texts, width), "forest-documents")
+    seen = materialise(described(texts, width, percent, bucket_counts(texts, width)), "forest-documents")
     full = seen.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("key").agg(F.min(F.struct("doc_id", "signature", "regions")).alias("first")).select("key", "first.*"), "forest-classes")
+    classes = materialise(full.groupBy("key").agg(F.min(F.struct("doc_id", "signature", "regions", "n_shingles", "prefix")).alias("first")).select("key", "first.*"), "forest-classes")
     slack = 3 * (percent / 100 * (1 - percent / 100) / VALUES) ** 0.5
     level = first_level(classes)
     pairs = materialise(candidates(level, percent / 100 - slack), "forest-pairs")
     links = materialise(confirmed(pairs, texts, width, percent), "forest-links")
     labels = components(links)
     members = materialise(partnered(level, labels, percent / 100 - slack), "forest-members")
+    every = links.select("a", "b")
+    old = [level, pairs, links, members]
     if members.limit(1).count():
         more = materialise(joining_links(members, texts, width, percent), "forest-more")
-        labels = components(links.select("a", "b").union(more))
-        drop_materialised(more)
-    for old in (level, pairs, links, members):
-        drop_materialised(old)
+        every = every.union(more)
+        labels = components(every)
+        old.append(more)
+    spots = materialise(contested(classes, labels), "forest-contested")
+    near = materialise(prefix_pairs(spots, percent), "forest-near")
+    missed = materialise(plausible(near, classes, percent / 100 - LOOSE), "forest-missed")
+    late = materialise(confirmed(missed, texts, width, percent), "forest-late")
+    if late.limit(1).count():
+        labels = components(every.union(late.select("a", "b")))
+    for done in (*old, spots, near, missed, late):
+        drop_materialised(done)
     of_class = classes.join(labels, classes["doc_id"] == labels["node"], "left").select("key", F.coalesce("label", "doc_id").alias("label"))
     rows = seen.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
