@@ -138,7 +138,7 @@ def _distances(met: DataFrame, keys: list[str], size: tuple[float, float]) -> Da
     """(keys, distance_m) of points (lon, lat) that met their cover cell, one row per pair; ``keys`` tell the pairs apart.
 
     A pair is opened into its few edges, which keeps the arithmetic in generated code; its rows sit in one task and
-    are folded there before the shuffle of the closing aggregate.
+    are folded there, without a shuffle if ``keys`` hold the columns that dealt the points.
     """
     lon, lat, e = F.col("lon"), F.col("lat"), F.col("_e")
     east, south = line_at(F.col("cx") + 1, 0, size), line_at(F.col("cy"), 1, size)
@@ -146,7 +146,9 @@ def _distances(met: DataFrame, keys: list[str], size: tuple[float, float]) -> Da
     flag = F.when(F.col("_kind") == "crossed", _other_side(lon, lat, F.col("_east"), F.col("_south"), e).cast("int")).otherwise(F.lit(0))
     measured = geo.with_edge_distance(opened, "lon", "lat", "_e", "_d").withColumn("_flag", flag)
     odd = F.sum("_flag") % 2 == 1
-    inside = F.when(F.max("_kind") == "crossed", odd != F.max("_corner")).otherwise(F.max("_kind") == "inside")
+    # the greatest of a text would make it a sort aggregate
+    kind = lambda name: F.max(F.col("_kind") == name)
+    inside = F.when(kind("crossed"), odd != F.max("_corner")).otherwise(kind("inside"))
     return measured.groupBy(*keys).agg(F.when(inside, F.lit(0.0)).otherwise(F.min("_d")).alias("distance_m"))
 
 
@@ -158,7 +160,8 @@ def area_point_pairs(
 
     Returns all area and point columns but the geometry, plus ``distance_m``. ``area_id``, by default the first
     column, tells areas apart. Points stay in their own cell and crowded cells are salted. Attributes ride along as
-    grouping columns, so that the closing aggregate stays a hash aggregate.
+    grouping columns, so that the closing aggregate stays a hash aggregate; cell and salt are among them, so the points are
+    shuffled once and the pairs not at all. ``point_id`` and the other columns of a point tell its place.
     """
     area_id = area_id or areas.columns[0]
     size = geo.cell_size(radius_m / PER_RADIUS)
@@ -168,9 +171,9 @@ def area_point_pairs(
         cells = cells.join(others, area_id)
     placed = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumn(
         "cx", column_of(F.col("lon"), size)).withColumn("cy", row_of(F.col("lat"), size))
-    met = salted_join(placed, cells, CELL, [point_id], hot_rows)
+    met = salted_join(placed, cells, CELL, [point_id], hot_rows, keep_salt=True)
     keys = [*others.columns, *[c for c in points.columns if c not in ("lon", "lat")]]
-    return _distances(met, keys, size).filter(F.col("distance_m") <= radius_m)
+    return _distances(met, [*CELL, "_salt", *keys], size).filter(F.col("distance_m") <= radius_m).select(*keys, "distance_m")
 
 
 def area_line_pairs(

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parcelspark.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS, counts: DataFrame | None = None
+    big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS, counts: DataFrame | None = None,
+    keep_salt: bool = False,
 ) -> DataFrame:
     """Inner equi-join that spreads keys with more than ``hot_rows`` big-side rows.
 
@@ -20,7 +23,8 @@ def salted_join(
     same way. A key is hot above ``hot_rows`` rows or a ``MAX_HOT_KEYS``-th of all
     rows, whichever is more: so there are fewer hot keys than that, which bounds
     the broadcast, and every one of them is salted. ``counts`` are the big side's
-    rows per key as column ``_n``, where the caller has them.
+    rows per key as column ``_n``, where the caller has them. ``keep_salt`` leaves the part's number as ``_salt``:
+    rows equal in ``keys`` and ``_salt`` are in one task, so grouping by these and more columns needs no shuffle.
     """
     counts = counts if counts is not None else big.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
@@ -35,7 +39,8 @@ def salted_join(
     right = (
         small.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    met = left.join(right, [*keys, "_salt"])
+    return met if keep_salt else met.drop("_salt")
 
 
 def top_rows(
@@ -65,14 +70,13 @@ def _scaled(value: Column) -> Column:
 def grouped_median(df: DataFrame, groups: list[str], value: str, name: str = "median") -> DataFrame:
     """Exact median per group without bringing a group into one task.
 
-    Equal values are counted first. Two rounds of bucket counts then narrow each
-    group down to the slice that holds the middle ranks, and only that slice is
-    sorted. Even counts give the mean of the two middle values.
+    Two rounds of bucket counts narrow each group down to the slice that holds the
+    middle ranks, and only that slice is shuffled and sorted. The rows are read for each
+    round, the buckets found are stored. Even counts give the mean of the two middle values.
     """
     df = df.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counts = df.groupBy(*groups, "_v").agg(F.count("*").alias("_c"))
     position = _scaled(F.col("_v"))
-    counts = counts.withColumn("_b1", F.floor(position)).withColumn(
+    rows = df.withColumn("_b1", F.floor(position)).withColumn(
         "_b2", F.floor((position - F.floor(position)) * F.lit(4096.0)))
 
     def locate(level: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -84,16 +88,18 @@ def grouped_median(df: DataFrame, groups: list[str], value: str, name: str = "me
             level.withColumn("_l", F.col("_lo") - before).withColumn("_h", F.col("_hi") - before)
             .filter(((F.col("_l") >= 1) & (F.col("_l") <= F.col("_c"))) | ((F.col("_h") >= 1) & (F.col("_h") <= F.col("_c")))))
 
-    first = counts.groupBy(*groups, "_b1").agg(F.sum("_c").alias("_c"))
+    first = rows.groupBy(*groups, "_b1").agg(F.count("*").alias("_c"))
     total = F.sum("_c").over(Window.partitionBy(*groups))
     first = first.withColumn("_lo", F.floor((total + 1) / 2)).withColumn("_hi", F.floor(total / 2) + 1)
-    b1 = locate(first, groups, "_b1").select(*groups, "_b1", F.col("_l").alias("_lo"), F.col("_h").alias("_hi"))
+    # stored, the tables of buckets have a known size: small ones go to the rows
+    b1 = cut_lineage(locate(first, groups, "_b1").select(*groups, "_b1", F.col("_l").alias("_lo"), F.col("_h").alias("_hi")))
 
-    second = counts.join(b1, [*groups, "_b1"]).groupBy(*groups, "_b1", "_b2", "_lo", "_hi").agg(F.sum("_c").alias("_c"))
-    b2 = locate(second, [*groups, "_b1"], "_b2").select(
-        *groups, "_b1", "_b2", F.col("_l").alias("_lo"), F.col("_h").alias("_hi"))
+    second = rows.join(b1, [*groups, "_b1"]).groupBy(*groups, "_b1", "_b2", "_lo", "_hi").agg(F.count("*").alias("_c"))
+    b2 = cut_lineage(locate(second, [*groups, "_b1"], "_b2").select(
+        *groups, "_b1", "_b2", F.col("_l").alias("_lo"), F.col("_h").alias("_hi")))
 
-    values = locate(counts.join(b2, [*groups, "_b1", "_b2"]), [*groups, "_b1", "_b2"], "_v")
+    slice_ = rows.join(b2, [*groups, "_b1", "_b2"]).groupBy(*groups, "_b1", "_b2", "_lo", "_hi", "_v").agg(F.count("*").alias("_c"))
+    values = locate(slice_, [*groups, "_b1", "_b2"], "_v")
 
     def at(rank: str) -> Column:
         return F.max(F.when((F.col(rank) >= 1) & (F.col(rank) <= F.col("_c")), F.col("_v")))

@@ -58,25 +58,31 @@ def road_impact(projects: DataFrame, roads: DataFrame, radius_m: float = 3000.0)
     return pairs.withColumn("weight", road_score(F.col("route_no"), F.col("distance_m"), F.col("length_m")))
 
 
-def uplift_samples(projects: DataFrame, stages: DataFrame, sales: DataFrame, window_days: int = 365) -> DataFrame:
+def uplift_samples(projects: DataFrame, stages: DataFrame, sales: DataFrame, window_days: int = 365, with_ids: bool = True) -> DataFrame:
     """Post-anchor sales against the median unit price of the year before.
 
     A project's anchor travels with its shape, so it needs no join with the sales; the sales in reach are found once
-    and stored. The median comes from bucket counts, and is looked up by salted parts of a project with many sales.
+    and stored. Sales before the window of the earliest anchor are left out at once. The median comes from bucket counts, and is
+    looked up by salted parts of a project with many sales; it is stored, a row per project, so a small table of them goes to the sales. Without ``with_ids`` samples have no ``source_id``,
+    which is most of a stored row.
     """
-    anchors = anchor_dates(projects, stages).filter(F.col("anchor_date").isNotNull()).select(F.col("project_id").alias("id"), "anchor_date")
+    anchors = cut_lineage(anchor_dates(projects, stages).filter(F.col("anchor_date").isNotNull()).select(F.col("project_id").alias("id"), "anchor_date"))
     date, anchor = F.col("contract_date"), F.col("anchor_date")
+    ids = ["source_id"] if with_ids else []
+    recent = sales.filter(date >= F.date_sub(anchors.agg(F.min("anchor_date")).scalar(), window_days))
     near = cut_lineage(
-        project_nearby_sales(projects.join(anchors, "id"), sales, carry=("anchor_date",))
+        project_nearby_sales(projects.join(anchors, "id"), recent, carry=("anchor_date",))
         .filter(date >= F.date_sub(anchor, window_days))
-        .select("project_id", "project_type", "source_id", "contract_date", "anchor_date", "distance_m",
+        .select("project_id", "project_type", *ids, "contract_date", "anchor_date", "distance_m",
                 (F.col("deal_amount_krw").cast("double") / F.nullif(F.col("area_m2").cast("double"), F.lit(0.0))).alias("unit_price")))
-    base = grouped_median(near.filter(date < anchor), ["project_id"], "unit_price", "base").filter(F.col("base") > 0)
+    base = cut_lineage(grouped_median(near.filter(date < anchor), ["project_id"], "unit_price", "base").filter(F.col("base") > 0))
+    later = near.filter((date >= anchor) & F.col("unit_price").isNotNull())
+    counts = cut_lineage(later.groupBy("project_id").agg(F.count("*").alias("_n")))
     months = (F.year(date) - F.year(anchor)) * 12 + F.month(date) - F.month(anchor)
     return (
-        salted_join(near.filter((date >= anchor) & F.col("unit_price").isNotNull()), base, ["project_id"], ["source_id"])
+        salted_join(later, base, ["project_id"], ["contract_date", "distance_m", "unit_price"], counts=counts)
         .select(
-            "project_id", "project_type", "source_id", "distance_m", "base", months.alias("months_since_anchor"),
+            "project_id", "project_type", *ids, "distance_m", "base", months.alias("months_since_anchor"),
             ((F.col("unit_price") - F.col("base")) / F.col("base")).alias("uplift_pct"), F.lit(1.0).alias("weight")))
 
 
@@ -208,7 +214,8 @@ def fit_surface(samples: DataFrame, key: str) -> DataFrame:
     Runs the search when called: the samples and the few fitted rows are
     checkpointed, so that no pass repeats the spatial join.
     """
-    samples = cut_lineage(samples)  # read by every search pass
+    used = dict.fromkeys([key, "project_id", "months_since_anchor", "distance_m", "uplift_pct", "weight"])
+    samples = cut_lineage(samples.select(*used))  # read by every search pass
     params = cut_lineage(fit_multipliers(samples, cut_lineage(fit_decay(samples, key)), key))
     error = spatial_kernel(F.col("distance_m")) * time_factor(F.col("months_since_anchor")) - F.col("uplift_pct")
     rmse = samples.join(params, key).groupBy(key).agg(F.sqrt(F.avg(error * error)).alias("rmse"))
@@ -243,7 +250,7 @@ def leave_one_out_error(samples: DataFrame) -> DataFrame:
     Moments of the distance bins are additive, so every fold's sums are total minus
     own; the samples are read for the moments and for the error, never copied per fold or decay.
     """
-    mid = cut_lineage(samples.filter(F.col("months_since_anchor").between(0, 24)))
+    mid = cut_lineage(samples.filter(F.col("months_since_anchor").between(0, 24)).select("project_id", "distance_m", "uplift_pct", "weight"))
     moments = cut_lineage(sufficient_sums(mid, ["project_id"]))
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(240)), lambda i: F.lit(-2.0) + i.cast("double") * F.lit(0.05)))
     own = _grid_sums(moments, ["project_id"], grid)
@@ -253,8 +260,8 @@ def leave_one_out_error(samples: DataFrame) -> DataFrame:
     fitted = rest.groupBy("project_id").agg(F.max_by(
         F.struct("b", (F.col("ye") / F.col("ee")).alias("a")),
         F.struct((F.col("ye") * F.col("ye") / F.col("ee")).alias("g"), (-F.col("b")).alias("nb"))).alias("p"))
-    params = fitted.select(
-        "project_id", clip("p.a", 0.01, 1.0).alias("a"), clip("p.b", 0.01, 5.0).alias("b"))
+    params = cut_lineage(fitted.select(
+        "project_id", clip("p.a", 0.01, 1.0).alias("a"), clip("p.b", 0.01, 5.0).alias("b")))
     error = spatial_kernel(F.col("distance_m")) - F.col("uplift_pct")
     return mid.join(params, "project_id").groupBy("project_id", "a", "b").agg(
         F.count("*").alias("n_held_out"), F.sqrt(F.avg(error * error)).alias("rmse"))
@@ -265,7 +272,7 @@ def impact_report(projects: DataFrame, stages: DataFrame, sales: DataFrame, admi
 
     The surface is fitted per project type on all projects of the type.
     """
-    samples = uplift_samples(projects, stages, sales)
+    samples = uplift_samples(projects, stages, sales, with_ids=False)
     params = fit_surface(samples, "project_type")
     anchors = anchor_dates(projects, stages)
     fitted = anchors.join(params, "project_type", "left").select(

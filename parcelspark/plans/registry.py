@@ -178,7 +178,7 @@ def g12_region_median_price(t: StandIn) -> DataFrame:
 
 @query
 def m1_m2_m3_fit_by_project_type(t: StandIn) -> DataFrame:
-    samples = impact.uplift_samples(t.projects, t.project_stages, t.land_transactions)
+    samples = impact.uplift_samples(t.projects, t.project_stages, t.land_transactions, with_ids=False)
     fitted = impact.fit_surface(samples, "project_type")
     return rounded(fitted, 4, "a", "b", "m0", "m1", "m2", "m3", "rmse")
 
@@ -192,7 +192,7 @@ def m4_default_uplift_grid(t: StandIn) -> DataFrame:
 
 @query
 def m4_sale_level_uplift(t: StandIn) -> DataFrame:
-    samples = impact.uplift_samples(t.projects, t.project_stages, t.land_transactions)
+    samples = impact.uplift_samples(t.projects, t.project_stages, t.land_transactions, with_ids=False)
     scored = impact.default_surface(samples.drop("weight")).withColumn(
         "expected", impact.spatial_kernel(F.col("distance_m")) * impact.time_factor(F.col("months_since_anchor")))
     return scored.groupBy("project_id").agg(
@@ -201,7 +201,7 @@ def m4_sale_level_uplift(t: StandIn) -> DataFrame:
 
 @query
 def m16_leave_one_out(t: StandIn) -> DataFrame:
-    samples = impact.uplift_samples(t.projects, t.project_stages, t.land_transactions)
+    samples = impact.uplift_samples(t.projects, t.project_stages, t.land_transactions, with_ids=False)
     return rounded(impact.leave_one_out_error(samples), 4, "a", "b", "rmse")
 
 

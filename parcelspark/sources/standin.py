@@ -43,10 +43,12 @@ class StandIn:
 
     def fact(self, name: str, key: str) -> DataFrame:
         """A large table; a lone file with one row group would be read by one
-        task only, so it is spread over the cores. Real layouts skip this."""
+        task only, so it is spread over the cores. Real layouts skip this, and
+        so does a lone file that is cut into a part for each core when it is read."""
         df = self.raw(name)
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if len(df.inputFiles()) < min(cores, 2) else df
+        lone = len(df.inputFiles()) < min(cores, 2) and df.rdd.getNumPartitions() < cores
+        return df.repartition(cores, key) if lone else df
 
     @cached_property
     def _nations(self) -> DataFrame:
@@ -128,10 +130,12 @@ class StandIn:
     @cached_property
     def land_transactions(self) -> DataFrame:
         li = self.fact("lineitem", "l_orderkey").withColumn("d", F.col("l_shipdate").cast("date"))
-        s = self._suppliers.select(F.col("s").alias("l_suppkey"), F.col("sigungu").alias("region_code"))
+        # supplier and nation are joined one after the other: as plain tables their size is known, and small ones go to the sales
+        s = self.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("n"))
+        districts = self._nations.select("n", F.col("sigungu").alias("region_code"))
         natural = F.concat_ws(
             ":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "d")])
-        return li.join(s, "l_suppkey").select(
+        return li.join(s, "l_suppkey").join(districts, "n").select(
             F.sha1(natural).alias("source_id"), "region_code",
             *_located(F.col("l_orderkey") * 7 + F.col("l_linenumber") + F.col("l_partkey") * 13),
             F.lit("land").alias("transaction_type"), F.col("d").alias("contract_date"),
