@@ -27,10 +27,14 @@ SLACK = 1e-7  # of a bound on a cosine
 
 
 def unit(vector: Column) -> Column:
-    """L2-normalised array of doubles; a zero vector stays zero."""
+    """L2-normalised array of doubles; a zero vector stays zero.
+
+    The norm is bound by a one-element transform: named within the lambda, it would be summed anew for each component.
+    """
     v = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+    scaled = F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))
+    return F.get(scaled, F.lit(0))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

@@ -51,3 +51,12 @@ def test_a_vector_that_is_not_a_number_hides_no_other(spark):
     df = spark.createDataFrame(rows, "i long, v array<double>")
     got = {r.i: r.j for r in nearest.topk_cosine(df, df.withColumnRenamed("i", "j"), "i", "j", "v", 1, True, 3, 16).collect()}
     assert len(got) == 100 and all(abs(i - j) == 1 for i, j in got.items())
+
+
+def test_a_norm_is_summed_once_a_vector(spark):
+    """The sum stands in no lambda over components, and null, zero and ordinary vectors keep their values."""
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,), ([1.0, None],)], "v array<double>")
+    got = df.select(nearest.unit(F.col("v")).alias("u"))
+    assert [r.u for r in got.collect()] == [[0.6, 0.8], [0.0, 0.0], [], None, [0.0, 0.0]]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ sqrt(" not in plan.lower()
